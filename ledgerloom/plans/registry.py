@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from . import records
+
+MODULES = (records,)
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.oracle_sql().items()}
