@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import cut, table
+from .baskets import basket_items, baskets, item_of
+from .clusters import compare_clusters, describe_clusters, similarity_clusters
+from .heavy_items import bounds, heavy_light, most_frequent
 from .mixing import mix_sources, shares, sized
+from .neighbours import nearest_vectors, neighbour_pairs
+from .overlap_join import similar_pairs
+from .pair_counts import together
 from .repetition import find_repetitive
+from .term_index import keyed_term_frequencies, text_term_frequencies
 from .tokenizer import encode_corpus
+from .vectors import vectors
 
 #: Weights over training time: the record of the higher courts grows, scans fade out; the rest stay even.
 CURRICULUM = {
@@ -18,6 +26,95 @@ CURRICULUM = {
 }
 
 
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    sets = baskets(table(spark, d, "basket_lines"))
+    return similar_pairs(sets, "order_id", "items", 0.8, 5)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select(F.col("id_a").alias("order_id_a"), F.col("id_b").alias("order_id_b"))
+
+
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select(F.col("id_a").alias("order_id_a"), F.col("id_b").alias("order_id_b"), F.round("similarity", 6).alias("similarity"))
+
+
+def _clustered(spark: SparkSession, d: str) -> DataFrame:
+    return cut(similarity_clusters(vectors(table(spark, d, "feature_frame"), table(spark, d, "feature_spec"))))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    c = _clustered(spark, d)
+    groups = c.groupBy("group_no").agg(F.count("*").alias("size"), F.min("id").alias("first_order_id")).where("size >= 3")
+    return c.join(groups, "group_no").select(F.col("id").alias("order_id"), "first_order_id")
+
+
+def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return describe_clusters(_clustered(spark, d)).select(F.col("first_id").alias("first_order_id"), "size", "typical")
+
+
+def p2_compared(spark: SparkSession, d: str) -> DataFrame:
+    return compare_clusters(_clustered(spark, d), table(spark, d, "segment_result"), "order_id", "cluster_id")
+
+
+def _frequencies(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "basket_lines")
+    items = keyed_term_frequencies(lines.select("order_id", item_of(lines["item_id"]).alias("item")), "order_id", "item")
+    words = text_term_frequencies(table(spark, d, "item_names"), "item_index", "item_name")
+    return items.withColumn("field_name", F.lit("item_id")).unionByName(words.withColumn("field_name", F.lit("item_name")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _frequencies(spark, d).where("mark <> ''").select("field_name", "term", "mark")
+
+
+def p3_terms(spark: SparkSession, d: str) -> DataFrame:
+    return _frequencies(spark, d).select("field_name", "term", "occurrences", "n_records", "mark")
+
+
+def _top_items(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "basket_lines")
+    return lines.select(item_of(lines["item_id"]).alias("item_id"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return most_frequent(_top_items(spark, d), "item_id", 50).select(F.col("item").alias("item_id"))
+
+
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    return most_frequent(_top_items(spark, d), "item_id", 50).select(F.col("item").alias("item_id"), "n")
+
+
+def p4_sketch(spark: SparkSession, d: str) -> DataFrame:
+    return bounds(*heavy_light(_top_items(spark, d), "item_id"))
+
+
+def _neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return nearest_vectors(vectors(table(spark, d, "feature_frame"), table(spark, d, "feature_spec")), 5, 3.0)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbour_pairs(_neighbours(spark, d)).select(F.col("id_a").alias("order_id_a"), F.col("id_b").alias("order_id_b"))
+
+
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    near = _neighbours(spark, d)
+    rows = near.select("id", F.posexplode("neighbours").alias("nth", "n"))
+    return rows.select(F.col("id").alias("order_id"), (F.col("nth") + 1).alias("nth"), F.col("n.id").alias("neighbour_id"), F.round("n.dist", 4).alias("distance"))
+
+
+def _together(spark: SparkSession, d: str) -> DataFrame:
+    return together(basket_items(table(spark, d, "basket_lines")), "order_id", "item", 15, 6.0)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _together(spark, d).select(F.col("item_a").alias("item_id_a"), F.col("item_b").alias("item_id_b"))
+
+
+def p7_lifts(spark: SparkSession, d: str) -> DataFrame:
+    return _together(spark, d).select(F.col("item_a").alias("item_id_a"), F.col("item_b").alias("item_id_b"), "n_ab", "n_a", "n_b", F.round("lift", 4).alias("lift"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -45,8 +142,31 @@ def p10_cutoffs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p8_ids, p9_mix, p9_shares, p10_found, p10_repetition, p10_cutoffs)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_clusters, p2_compared, p3_found, p3_terms, p4_found, p4_counts, p4_sketch, p6_found, p6_neighbours, p7_found, p7_lifts, p8_ids, p9_mix, p9_shares, p10_found, p10_repetition, p10_cutoffs)}
+
+
+#: Items of lines, and baskets, by the definitions of the test data.
+_ITEMS = "items AS (SELECT order_id, upper(trim(item_id, ' ' || chr(9))) item FROM basket_lines WHERE upper(trim(item_id, ' ' || chr(9))) <> ''), basket AS (SELECT DISTINCT order_id, item FROM items WHERE order_id IS NOT NULL)"
+_PAIRS = f"WITH {_ITEMS}, sized AS (SELECT order_id, count(*) n FROM basket GROUP BY 1 HAVING count(*) >= 5), shared AS (SELECT a.order_id a, b.order_id b, count(*) o FROM (SELECT * FROM basket SEMI JOIN sized USING (order_id)) a JOIN (SELECT * FROM basket SEMI JOIN sized USING (order_id)) b ON a.item = b.item AND a.order_id < b.order_id GROUP BY 1, 2), p AS (SELECT a order_id_a, b order_id_b, o / (x.n + y.n - o) similarity, o, x.n + y.n - o u FROM shared JOIN sized x ON a = x.order_id JOIN sized y ON b = y.order_id)"
+_VECTORS = "long AS (UNPIVOT (SELECT DISTINCT * FROM feature_frame) ON COLUMNS('feature_.*') INTO NAME feature_name VALUE v), vec AS (SELECT order_id, list((v - center) / scale ORDER BY feature_name) z FROM long JOIN feature_spec USING (feature_name) WHERE isfinite(v) GROUP BY order_id HAVING count(*) = (SELECT count(*) FROM feature_spec))"
+_NEAR = f"WITH {_VECTORS}, d AS (SELECT a.order_id a, b.order_id b, round(list_distance(a.z, b.z), 6) dist FROM vec a JOIN vec b ON a.order_id <> b.order_id AND abs(a.z[1] - b.z[1]) <= 3.1 AND abs(a.z[3] - b.z[3]) <= 3.1), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) nth FROM d WHERE dist <= 3.0)"
+_TERMS = f"WITH {_ITEMS}, w AS (SELECT item_index, unnest(regexp_extract_all(lower(item_name), '[a-z0-9]+')) term FROM item_names), t AS (SELECT 'item_id' field_name, item term, count(*) occurrences, count(DISTINCT order_id) n_records, (SELECT count(DISTINCT order_id) FROM basket) n FROM items GROUP BY item UNION ALL SELECT 'item_name', term, count(*), count(DISTINCT item_index), (SELECT count(*) FROM item_names WHERE item_name <> '') FROM w GROUP BY term), m AS (SELECT field_name, term, occurrences, n_records, CASE WHEN n_records BETWEEN 1 AND 2 THEN 'rare' WHEN n_records > 0.2 * n THEN 'common' ELSE '' END mark FROM t)"
+_LIFTS = f"WITH {_ITEMS}, m AS (SELECT item, count(*) k FROM basket GROUP BY 1), n AS (SELECT count(DISTINCT order_id) n FROM basket), c AS (SELECT a.item a, b.item b, count(*) n_ab FROM basket a JOIN basket b ON a.order_id = b.order_id AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= 15), l AS (SELECT a item_id_a, b item_id_b, n_ab, x.k n_a, y.k n_b, n_ab::DOUBLE * n / (x.k::DOUBLE * y.k) lift FROM c JOIN m x ON a = x.item JOIN m y ON b = y.item CROSS JOIN n WHERE n_ab::DOUBLE * n / (x.k::DOUBLE * y.k) >= 6)"
+_WORDS = r"WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') words FROM documents), g AS (SELECT doc_id, i, list_aggregate(words[i:i+7], 'string_agg', ' ') run FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 6, 1))) i FROM w)), again AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(i) OVER (PARTITION BY doc_id, run) first_i FROM g) WHERE i > first_i), hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) p FROM again), n AS (SELECT doc_id, count(*) n_repeated FROM hit GROUP BY 1), m AS (SELECT doc_id, coalesce(len(words), 0) n_words, coalesce(n_repeated, 0) n_repeated FROM w LEFT JOIN n USING (doc_id))"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p1_found": f"{_PAIRS} SELECT order_id_a, order_id_b FROM p WHERE 5 * o >= 4 * u",
+        "p1_pairs": f"{_PAIRS} SELECT order_id_a, order_id_b, round(similarity, 6) similarity FROM p WHERE 5 * o >= 4 * u",
+        "p2_found": f"WITH RECURSIVE {_VECTORS}, link AS (SELECT a.order_id a, b.order_id b FROM vec a JOIN vec b ON a.order_id <> b.order_id AND abs(a.z[1] - b.z[1]) <= 1.1 AND abs(a.z[3] - b.z[3]) <= 1.1 WHERE round(list_distance(a.z, b.z), 6) <= 1.0), reach(a, b) AS (SELECT order_id, order_id FROM vec UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a), g AS (SELECT a, min(b) first_order_id FROM reach GROUP BY 1), s AS (SELECT first_order_id FROM g GROUP BY 1 HAVING count(*) >= 3) SELECT a order_id, first_order_id FROM g SEMI JOIN s USING (first_order_id)",
+        "p3_found": f"{_TERMS} SELECT field_name, term, mark FROM m WHERE mark <> ''",
+        "p3_terms": f"{_TERMS} SELECT field_name, term, occurrences, n_records, mark FROM m",
+        "p4_found": f"WITH {_ITEMS} SELECT item item_id FROM items GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 50",
+        "p4_counts": f"WITH {_ITEMS} SELECT item item_id, count(*) n FROM items GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50",
+        "p6_found": f"{_NEAR} SELECT DISTINCT least(a, b) order_id_a, greatest(a, b) order_id_b FROM r WHERE nth <= 5",
+        "p6_neighbours": f"{_NEAR} SELECT a order_id, nth::INT nth, b neighbour_id, round(dist, 4) distance FROM r WHERE nth <= 5",
+        "p7_found": f"{_LIFTS} SELECT item_id_a, item_id_b FROM l",
+        "p7_lifts": f"{_LIFTS} SELECT item_id_a, item_id_b, n_ab, n_a, n_b, round(lift, 4) lift FROM l",
+        "p10_found": f"{_WORDS} SELECT doc_id FROM m WHERE n_words >= 40 AND 10 * n_repeated >= 3 * n_words",
+    }
