@@ -100,7 +100,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
     near = _neighbours(spark, d)
     rows = near.select("id", F.posexplode("neighbours").alias("nth", "n"))
-    return rows.select(F.col("id").alias("order_id"), (F.col("nth") + 1).alias("nth"), F.col("n.id").alias("neighbour_id"), F.round("n.dist", 4).alias("distance"))
+    return rows.select(F.col("id").alias("order_id"), (F.col("nth") + 1).alias("nth"), F.col("n.id").alias("neighbour_id"), F.col("n.dist").alias("distance"))
 
 
 def _together(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +165,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": f"WITH {_ITEMS} SELECT item item_id FROM items GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 50",
         "p4_counts": f"WITH {_ITEMS} SELECT item item_id, count(*) n FROM items GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50",
         "p6_found": f"{_NEAR} SELECT DISTINCT least(a, b) order_id_a, greatest(a, b) order_id_b FROM r WHERE nth <= 5",
-        "p6_neighbours": f"{_NEAR} SELECT a order_id, nth::INT nth, b neighbour_id, round(dist, 4) distance FROM r WHERE nth <= 5",
+        "p6_neighbours": f"{_NEAR} SELECT a order_id, nth::INT nth, b neighbour_id, dist distance FROM r WHERE nth <= 5",
         "p7_found": f"{_LIFTS} SELECT item_id_a, item_id_b FROM l",
         "p7_lifts": f"{_LIFTS} SELECT item_id_a, item_id_b, n_ab, n_a, n_b, round(lift, 4) lift FROM l",
         "p10_found": f"{_WORDS} SELECT doc_id FROM m WHERE n_words >= 40 AND 10 * n_repeated >= 3 * n_words",
