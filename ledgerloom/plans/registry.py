@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import records
+from . import analytics, ingest, records
 
-MODULES = (records,)
+MODULES = (analytics, ingest, records)
 
 
 def queries() -> dict[str, Callable]:

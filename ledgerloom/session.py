@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,3 +65,13 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its input has fewer partitions, as a small single file has; a large input stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name within the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def local_path(path: str) -> str:
+    """A file URI as a plain path."""
+    return re.sub("^file:/*", "/", path)
