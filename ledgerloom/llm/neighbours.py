@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.space import by_block, into_blocks, matrix, with_visitors
 from ..session import cut, ship
-from .vectors import Tiles, by_block, classes, into_blocks, matrix, with_visitors
+from .vectors import Tiles, classes
 
 
 def _nearest(tiles: Tiles, base_pid: np.ndarray, pid: np.ndarray, z: np.ndarray, k: int) -> pa.RecordBatch:
@@ -51,7 +52,7 @@ def nearest_points(points: DataFrame, k: int, radius: float) -> DataFrame:
         tiles, base = state
         yield _nearest(tiles, base, np.asarray(rows.column(2)), matrix(rows.column(3)), k)
 
-    found = with_visitors(into_blocks(points), radius, []).mapInArrow(lambda batches: by_block(batches, start, visit), "pid bigint, nbr bigint, dist double")
+    found = with_visitors(into_blocks(points), radius).mapInArrow(lambda batches: by_block(batches, start, visit), "pid bigint, nbr bigint, dist double")
     best = Window.partitionBy("pid").orderBy("dist", "nbr")
     return found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select("pid", "nbr", "dist")
 

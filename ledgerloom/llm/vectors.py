@@ -1,23 +1,15 @@
-"""Vectors of a feature frame, cut into spatial blocks for block matrix joins.
-
-A tree of median splits, fitted on a bounded sample, gives every vector a home block.
-The exact bounding boxes of the blocks then tell which other blocks a vector visits:
-those nearer than the search radius, so no pair within it is lost.
-"""
+"""Standardised vectors of a feature frame, and int8 product tiles of their distances."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, ship
+from ..session import cut
 
-#: Vectors of a block aimed at, most blocks of a tree, vectors of the sample that it is fitted on.
-BLOCK, MOST_BLOCKS, SAMPLE = 2048, 4096, 60_000
 #: Decimals to which distances are rounded.
 DECIMALS = 6
 #: Pairs of a product tile.
@@ -51,105 +43,6 @@ def classes(vecs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return points, copies
 
 
-class Tree:
-    """Median splits in a complete binary tree; leaf numbers are the blocks."""
-
-    def __init__(self, sample: np.ndarray, rows: int, block: int = BLOCK, most: int = MOST_BLOCKS):
-        depth = 0
-        while (1 << depth) < min(most, rows / block) and (2 << depth) <= max(1, len(sample)):
-            depth += 1
-        self.depth = depth
-        self.dim, self.at = np.zeros(1 << depth, np.int64), np.zeros(1 << depth)
-        parts = {1: sample}
-        for node in range(1, 1 << depth):
-            part = parts.pop(node)
-            if len(part):
-                self.dim[node] = d = int(np.argmax(part.max(0) - part.min(0)))
-                self.at[node] = np.median(part[:, d])
-            right = part[:, self.dim[node]] >= self.at[node]
-            parts[2 * node], parts[2 * node + 1] = part[~right], part[right]
-
-    def leaf(self, z: np.ndarray) -> np.ndarray:
-        node = np.ones(len(z), np.int64)
-        rows = np.arange(len(z))
-        for _ in range(self.depth):
-            node = 2 * node + (z[rows, self.dim[node]] >= self.at[node])
-        return node - (1 << self.depth)
-
-
-def matrix(column: pa.Array) -> np.ndarray:
-    """A list column of equally long vectors as a matrix."""
-    n = len(column)
-    flat = np.asarray(column.flatten())
-    return flat.reshape(n, -1) if n else np.empty((0, 0))
-
-
-def lists(z: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1) * z.shape[1], pa.int32()), pa.array(np.ascontiguousarray(z).ravel()))
-
-
-def into_blocks(points: DataFrame) -> DataFrame:
-    """points with their home ``block``, spread by block and kept."""
-    ship(points.sparkSession)
-    rows = points.count()
-    share = min(1.0, SAMPLE / max(1, rows))
-    part = F.shiftrightunsigned(F.xxhash64("pid", F.lit("tree")), 12) / F.lit(float(1 << 52))
-    sample = points.where(part < share).select("z").limit(2 * SAMPLE).toPandas()["z"]  # bounded by SAMPLE
-    tree = Tree(np.array(sample.tolist()) if len(sample) else np.empty((0, 1)), rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            leaf = tree.leaf(matrix(b.column(1))) if b.num_rows else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), b.column(0), b.column(1)], ["block", "pid", "z"])
-
-    return cut(points.select("pid", "z").mapInArrow(run, "block int, pid bigint, z array<double>").repartition("block").sortWithinPartitions("block", "pid"))
-
-
-def boxes(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(block numbers, lower corners, upper corners), exact over all rows; MOST_BLOCKS rows at most."""
-    width = blocks.select(F.size("z").alias("w")).limit(1).collect()
-    if not width:
-        return np.empty(0, np.int64), np.empty((0, 1)), np.empty((0, 1))
-    z = [F.col("z")[i] for i in range(width[0].w)]
-    got = blocks.groupBy("block").agg(F.array(*map(F.min, z)).alias("low"), F.array(*map(F.max, z)).alias("high")).collect()
-    return np.array([r.block for r in got]), np.array([r.low for r in got]), np.array([r.high for r in got])
-
-
-def with_visitors(blocks: DataFrame, radius: float, extra: list[str]) -> DataFrame:
-    """Rows of each block (role 0) and of the vectors within ``radius`` of its box that live elsewhere (role 1), sorted by block and role.
-
-    Columns: block, role, pid, z and the bigint columns ``extra``.
-    """
-    numbers, low, high = boxes(blocks)
-    limit = (radius + 1e-6) ** 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            home, z = np.asarray(b.column(0)), matrix(b.column(2))
-            step = max(1, 2_000_000 // max(1, len(numbers)))
-            rows, where = [np.arange(len(z))], [home]
-            for at in range(0, len(z), step):
-                part = z[at : at + step]
-                d2 = np.zeros((len(part), len(numbers)))
-                for d in range(z.shape[1]):
-                    x = part[:, d : d + 1]
-                    d2 += np.maximum(np.maximum(low[:, d] - x, x - high[:, d]), 0) ** 2
-                r, k = np.nonzero(d2 <= limit)
-                other = numbers[k] != home[at + r]
-                rows.append(at + r[other])
-                where.append(numbers[k[other]])
-            take = pa.array(np.concatenate(rows))
-            role = np.r_[np.zeros(len(z), np.int32), np.ones(len(take) - len(z), np.int32)]
-            kept = [b.column(i).take(take) for i in range(1, b.num_columns)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(where).astype(np.int32)), pa.array(role), *kept], ["block", "role", "pid", "z", *extra])
-
-    kinds = "".join(f", {c} bigint" for c in extra)
-    spread = blocks.select("block", "pid", "z", *extra).mapInArrow(run, f"block int, role int, pid bigint, z array<double>{kinds}")
-    return spread.repartition("block").sortWithinPartitions("block", "role", "pid")
-
-
 class Tiles:
     """Int8 codes of the vectors of a block, for product tiles with an error bound."""
 
@@ -186,35 +79,3 @@ class Tiles:
                 d = np.round(np.sqrt(((q[a] - self.base[b]) ** 2).sum(1)), DECIMALS)
                 fine = d <= self.radius
                 yield at + a[fine], b[fine], d[fine]
-
-
-def by_block(batches: Iterator[pa.RecordBatch], start: Callable, visit: Callable) -> Iterator[pa.RecordBatch]:
-    """Walks rows sorted by (block, role): ``start(rows)`` gets a block's own rows and gives its state and outputs, ``visit(state, rows)`` each batch of visitors.
-
-    Only a block's own rows are held; visitors stream past them.
-    """
-    block, own, state = None, [], None
-
-    def begin() -> Iterator[pa.RecordBatch]:
-        nonlocal state, own
-        if own:
-            state, out = start(pa.Table.from_batches(own).combine_chunks().to_batches()[0])
-            own = []
-            yield from out
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys = np.asarray(b.column(0)).astype(np.int64) * 2 + np.asarray(b.column(1))
-        edges = np.r_[0, np.nonzero(np.diff(keys))[0] + 1, len(keys)]
-        for a, z in zip(edges[:-1], edges[1:]):
-            part, (blk, role) = b.slice(a, z - a), divmod(int(keys[a]), 2)
-            if blk != block:
-                yield from begin()
-                block, state = blk, None
-            if role == 0:
-                own.append(part)
-            else:
-                yield from begin()
-                yield from visit(state, part)
-    yield from begin()

@@ -25,9 +25,7 @@ def distances(x):
 
 @pytest.fixture(params=[2048, 24], ids=["one block", "many blocks"])
 def blocks(request, monkeypatch):
-    for module in (space, vectors):
-        if hasattr(module, "into_blocks"):
-            monkeypatch.setattr(module.into_blocks, "__defaults__", (request.param,))
+    monkeypatch.setattr(space.into_blocks, "__defaults__", (request.param,))
 
 
 @pytest.mark.parametrize("seed", [1, 2])
