@@ -54,7 +54,7 @@ _add(
     f"WITH {_CUSTOMERS} SELECT order_id, round((balance - min(balance) OVER ()) / (max(balance) OVER () - min(balance) OVER ()), 6) balance FROM c",
 )
 
-_DAILY = "d AS (SELECT event_type sku_id, CAST(ts AS DATE) day, sum(value) y FROM events GROUP BY 1, 2)"
+_DAILY = 'd AS (SELECT event_type sku_id, CAST(ts AS DATE) AS "day", sum(value) y FROM events GROUP BY 1, 2)'
 
 
 def _daily(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +65,7 @@ for _code, _name, _shift, _spread in ((1, "minmax", "min(y) OVER w", "max(y) OVE
     _add(
         f"scale_{_name}_per_sku",
         lambda s, d, m=_code: _rounded(scale(_daily(s, d), ["y"], m, by="sku_id"), 5, "y"),
-        f"WITH {_DAILY} SELECT sku_id, day, round(CASE WHEN abs({_spread}) < 2.220446049250313e-16 THEN 0.0 ELSE (y - {_shift}) / ({_spread}) END, 5) y FROM d WINDOW w AS (PARTITION BY sku_id)",
+        f"WITH {_DAILY} SELECT sku_id, \"day\", round(CASE WHEN abs({_spread}) < 2.220446049250313e-16 THEN 0.0 ELSE (y - {_shift}) / ({_spread}) END, 5) y FROM d WINDOW w AS (PARTITION BY sku_id)",
     )
 
 _FRAME = [f"feature_{i}" for i in range(10)]
@@ -114,7 +114,7 @@ def _forecast_sql(source: str, mode: PredictionMode, steps: int, scaling: int =
 
 
 _MODES = {"linear": PredictionMode(), "poly2": PredictionMode("polynomial", 2), "poly3": PredictionMode("polynomial", 3), "seasonal7": PredictionMode("seasonal"), "ensemble": PredictionMode("ensemble", 2)}
-_DAY_SOURCE = _DAILY + ", s AS (SELECT sku_id, day o, y FROM d)"
+_DAY_SOURCE = _DAILY + ", s AS (SELECT sku_id, \"day\" o, y FROM d)"
 for _name, _mode in _MODES.items():
     for _tail, _code in (("", 0), ("_minmax", 1), ("_standard", 2)):
         _add(
