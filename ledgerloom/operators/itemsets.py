@@ -37,8 +37,8 @@ def frequent_itemsets(baskets: DataFrame, min_support: int, items_col: str = "it
     found = FPGrowth(itemsCol="items", minSupport=min(1.0, (min_support - 0.5) / n), minConfidence=1.0).fit(baskets).freqItemsets
     found = found.where(F.col("freq") >= min_support)
     support = found.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), F.col("freq").alias("own"))
-    ranked = found.select("items", "freq", F.monotonically_increasing_id().alias("nth"), F.explode("items").alias("item")).join(support, "item")
-    ranked = ranked.groupBy("nth", "freq").agg(F.array_sort(F.collect_list(F.struct((-F.col("own")).alias("o"), "item"))).alias("r"))
+    ranked = found.select("items", "freq", F.explode("items").alias("item")).join(support, "item")
+    ranked = ranked.groupBy("items", "freq").agg(F.array_sort(F.collect_list(F.struct((-F.col("own")).alias("o"), "item"))).alias("r"))
     return ranked.select(F.transform("r", lambda x: x["item"].cast("string")).alias("pattern"), F.col("freq").alias("support"))
 
 

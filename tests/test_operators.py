@@ -106,13 +106,9 @@ def test_time_is_position(spark):
 
 
 def test_series_errors(spark):
-    for y in ([1.0], []):
-        with pytest.raises(Exception, match="at least 2 data points" if y else "") as e:
-            got = forecast.forecast_series(series(spark, y), ["t"], "y", 1, PredictionMode()).collect()
-            if not y:
-                assert got == []
-                raise ValueError
-        assert e
+    with pytest.raises(Exception, match="at least 2 data points"):
+        forecast.forecast_series(series(spark, [1.0]), ["t"], "y", 1, PredictionMode()).collect()
+    assert forecast.forecast_series(series(spark, []), ["t"], "y", 1, PredictionMode()).collect() == []
     with pytest.raises(ValidationError):
         forecast.forecast_series(series(spark, [1, 2]), ["t"], "y", 1, PredictionMode("seasonal", 1, 0))
 
