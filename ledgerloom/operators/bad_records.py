@@ -2,8 +2,8 @@
 
 Records travel in blocks of one file. A block is parsed as a whole on a columnar
 path that accepts only what is certainly valid. A block that it refuses is cut in
-half, again and again, until the refused records stand alone; those are diagnosed
-strictly, one by one, and the strict parser has the last word on them.
+half, again and again, until the refused records stand in a handful or alone; those are
+diagnosed strictly, one by one, and the strict parser has the last word on them.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from ..session import ship
 
 #: Records of one file that travel together, and copies of a file's definition the blocks spread over.
 BLOCK, SALTS = 2048, 16
+#: A refused block of so many records isn't cut further: its records are all diagnosed.
+ALONE = 16
 
 #: What a typed field may look like, by type id.
 INTEGER = r"[+-]?[0-9]+"
@@ -144,8 +146,8 @@ def _bisect(records: pa.Array, first: int, delimiter: str, types: list[int], goo
         return
     if (columns := _parse_block(records, delimiter, types)) is not None:
         good.append((first, n, columns))
-    elif n == 1:
-        bad.append(first)
+    elif n <= ALONE:
+        bad.extend(range(first, first + n))
     else:
         half = n // 2
         _bisect(records.slice(0, half), first, delimiter, types, good, bad)
@@ -186,7 +188,8 @@ def prepare_records(records: DataFrame, options: DataFrame, columns: DataFrame)
     files = options.join(columns, "file_id").where("delimiter is not null and delimiter <> ''").select(
         "file_id", "delimiter", "has_header", F.transform("cols", lambda c: F.coalesce(c["name"], F.lit(""))).alias("names"), F.transform("cols", lambda c: F.coalesce(c["type_id"], F.lit(0)).cast("int")).alias("types"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     )
-    return raw.join(files, ["file_id", "salt"]).where("not (coalesce(has_header, false) and line_no = 1)").select("file_id", "line_no", "raw", "delimiter", "names", "types")
+    rows = raw.join(files, ["file_id", "salt"]).where("not (coalesce(has_header, false) and line_no = 1)")
+    return rows.select("file_id", "line_no", "raw", "delimiter", "names", "types").sortWithinPartitions("file_id", "line_no")
 
 
 _OUT = "file_id string, line_no bigint, reason string, column_name string, fields array<string>, names array<string>, types array<int>"
