@@ -9,6 +9,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -67,6 +68,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` to be broadcast if it is proven to hold at most ``most`` rows; a larger one is joined as the optimizer sees fit."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder name within the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
