@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, small
 from .tokenizer import corpus_sizes
 
 #: Hash buckets of a source's line. Sums within a bucket are taken by one task, sums over buckets by another,
@@ -51,6 +51,7 @@ def plan_mixture(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> tuple[D
     s = sizes.where("n_tokens is not null")
     total = s.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total_tokens"))
     targets = targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).where("source is not null")
+    targets = small(cut(targets))  # a row a source: a hot source isn't shuffled to one task
     h = F.xxhash64(F.col("doc_id"), F.lit(seed))
     listed = s.join(targets.select("source"), "source", "left_semi").withColumns({"h": h, "bucket": F.shiftrightunsigned(h, 52).cast("int")})
     buckets = listed.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("in_bucket"), F.count("*").alias("docs_in_bucket"))
@@ -91,7 +92,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, schedules: dict[str, list[
     curves = spark.createDataFrame(rows, "source string, segs array<array<double>>")  # a few rows, as given by the caller
     even = F.array(*[F.array(*[F.lit(float(v)) for v in x]) for x in segments(EVEN)])
     plan = plan.join(curves, "source", "left").withColumn("segs", F.coalesce("segs", even))
-    drawn = docs.join(plan.select("source", "supply", "full", "rest", "segs"), "source")  # plan: a row for each listed source
+    drawn = docs.join(small(cut(plan.select("source", "supply", "full", "rest", "segs"))), "source")  # a row for each listed source
     middle = F.col("at") + F.col("n_tokens") / 2
     drawn = drawn.withColumn("copies", F.col("full") + (middle <= F.col("rest")).cast("bigint") * (F.col("rest") > 0).cast("bigint"))
     drawn = drawn.where("copies > 0").withColumn("pass_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)))
@@ -114,7 +115,8 @@ def shares(sizes: DataFrame, targets: DataFrame, seed: int = 0) -> DataFrame:
     """
     docs, plan = plan_mixture(sizes, targets, seed)
     part = F.when(F.col("at") + F.col("n_tokens") / 2 <= F.col("rest"), F.col("n_tokens")).otherwise(F.lit(0))
-    last = docs.join(plan.select("source", "rest").where("rest > 0"), "source").groupBy("source").agg(F.sum(part).alias("part_tokens"))
+    plan = cut(plan)
+    last = docs.join(small(plan.select("source", "rest").where("rest > 0")), "source").groupBy("source").agg(F.sum(part).alias("part_tokens"))
     out = plan.join(last, "source", "left").withColumn("drawn_tokens", F.col("full") * F.col("supply") + F.coalesce("part_tokens", F.lit(0)))
     everything = out.agg(F.sum("drawn_tokens").alias("all_drawn"))
     return out.crossJoin(everything).select(  # one row
