@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
+from ..session import cut
 from .validate import validate_dims
 
 ITERATIONS, TOLERANCE = 100, 1e-6
@@ -73,16 +74,15 @@ def kmeans_farthest_first(df: DataFrame, features: list[str], k: int, order: str
 def kmeans(df: DataFrame, features: list[str], k: int, id_col: str = "order_id", seed: int = 7, iterations: int = ITERATIONS) -> DataFrame:
     """id, cluster_id by the library's k-means; clusters are numbered by their least id, so numbers don't change with the run."""
     validate_dims(len(features))
-    n = df.count()
+    rows = cut(VectorAssembler(inputCols=features, outputCol="__x").transform(df).select(id_col, "__x"))  # read once an iteration
+    n = rows.count()
     if not 1 <= k <= n:
         raise ValidationError(f"n_clusters must be 1 to {n}, got {k}")
     if k == 1:
-        return df.select(id_col, F.lit(0).cast("bigint").alias("cluster_id"))
-    rows = VectorAssembler(inputCols=features, outputCol="__x").transform(df).select(id_col, "__x").persist()
+        return rows.select(id_col, F.lit(0).cast("bigint").alias("cluster_id"))
     model = KMeans(k=k, seed=seed, maxIter=iterations, featuresCol="__x", predictionCol="__c").fit(rows)
     out = model.transform(rows).select(id_col, "__c")
     least = {r["__c"]: r.least for r in out.groupBy("__c").agg(F.min(id_col).alias("least")).collect()}  # k rows
-    rows.unpersist()
     number = {c: i for i, c in enumerate(sorted(least, key=least.get))}
     named = F.element_at(F.create_map(*[F.lit(v) for c, i in number.items() for v in (c, i)]), F.col("__c"))
     return out.select(id_col, named.cast("bigint").alias("cluster_id"))

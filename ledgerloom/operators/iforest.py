@@ -34,7 +34,7 @@ def average_path(n: float) -> float:
 
 
 class Forest:
-    """Trees as arrays: two coordinates with weights and a threshold for each node, children, and the path length at leaves."""
+    """Trees as flat arrays: two coordinates with weights and a threshold for each node, children (leaves are their own), path lengths."""
 
     def __init__(self, x: np.ndarray, seed: int, trees: int = TREES, sample: int = SAMPLE):
         self.size = min(len(x), sample)
@@ -57,27 +57,30 @@ class Forest:
             low, high = (part.min(0), part.max(0)) if len(part) else (0, 0)
             if depth >= self.depth or len(rows) <= 1 or not np.any(high > low):
                 return me
-            d = rng.choice(x.shape[1], 2, replace=False)
+            first = int(rng.integers(x.shape[1]))
+            second = int(rng.integers(x.shape[1] - 1))
+            d = [first, second + (second >= first)]
             w = rng.standard_normal(2)
-            threshold = float((rng.uniform(low, high)[d] * w).sum())
+            threshold = float((rng.uniform(low[d], high[d]) * w).sum())
             left = part[:, d] @ w <= threshold
             dims[me], weights[me], at[me] = tuple(d), tuple(w), threshold
             child[me] = (node(rows[left], depth + 1), node(rows[~left], depth + 1))
             return me
 
         node(np.arange(len(x)), 0)
-        return np.array(dims), np.array(weights), np.array(at), np.array(child), np.array(path)
+        d, w = np.array(dims, np.int64).T.copy(), np.array(weights).T.copy()
+        return d[0], d[1], w[0], w[1], np.array(at), np.array(child, np.int64).ravel(), np.array(path)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """2 ** (-mean path / average path), in 0..1, higher is more unusual."""
-        total, rows = np.zeros(len(x)), np.arange(len(x))
-        for dims, weights, at, child, path in self.trees:
+        flat, base, total = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x))
+        for d0, d1, w0, w1, at, child, path in self.trees:
             node = np.zeros(len(x), np.int64)
             for _ in range(self.depth):
-                d, w = dims[node], weights[node]
-                right = x[rows, d[:, 0]] * w[:, 0] + x[rows, d[:, 1]] * w[:, 1] > at[node]
-                node = child[node, right.astype(np.int64)]
-            total += path[node]
+                p = flat.take(base + d0.take(node)) * w0.take(node)
+                p += flat.take(base + d1.take(node)) * w1.take(node)
+                node = child.take(2 * node + (p > at.take(node)))
+            total += path.take(node)
         return np.exp2(-total / len(self.trees) / self.scale)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
+from ..session import cut
 
 
 def transactions(lines: DataFrame, order_col: str = "order_id", item_col: str = "item_id") -> DataFrame:
@@ -28,14 +29,14 @@ def frequent_itemsets(baskets: DataFrame, min_support: int, items_col: str = "it
     """
     if min_support < 1:
         raise ValidationError("min_support must be at least 1")
-    baskets = baskets.select(F.col(items_col).alias("items")).where(F.size("items") > 0)
+    baskets = cut(baskets.select(F.col(items_col).alias("items")).where(F.size("items") > 0))  # read three times
     n = baskets.count()
     spark = baskets.sparkSession
     if not n or min_support > n:
         return spark.createDataFrame([], "pattern array<string>, support bigint")
     # the miner takes a share and rounds it up to a count
     found = FPGrowth(itemsCol="items", minSupport=min(1.0, (min_support - 0.5) / n), minConfidence=1.0).fit(baskets).freqItemsets
-    found = found.where(F.col("freq") >= min_support)
+    found = cut(found.where(F.col("freq") >= min_support))  # mined once
     support = found.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), F.col("freq").alias("own"))
     ranked = found.select("items", "freq", F.explode("items").alias("item")).join(support, "item")
     ranked = ranked.groupBy("items", "freq").agg(F.array_sort(F.collect_list(F.struct((-F.col("own")).alias("o"), "item"))).alias("r"))

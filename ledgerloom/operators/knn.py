@@ -71,7 +71,7 @@ def knn(df: DataFrame, id_col: str, vector: Column, k: int) -> DataFrame:
     def visit(state: tuple, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch(nearest(*state, matrix(rows.column(3)), np.asarray(rows.column(2)), k))
 
-    own = blocks.select("block", F.lit(0).alias("role"), "pid", "z").repartition("block").sortWithinPartitions("block", "pid")
+    own = blocks.select("block", F.lit(0).alias("role"), "pid", "z")  # already spread and sorted by block
     home = cut(own.mapInArrow(lambda b: by_block(b, at_home, visit), schema))
     reach = home.groupBy("pid").agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(F.lit(1e300)).alias("reach"))
     reaching = blocks.join(reach, "pid", "left").withColumn("reach", F.coalesce("reach", F.lit(1e150))).select("block", "pid", "z", F.least("reach", F.lit(1e150)).alias("reach"))
