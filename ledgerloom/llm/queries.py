@@ -11,7 +11,7 @@ from .clusters import compare_clusters, describe_clusters, similarity_clusters
 from .heavy_items import bounds, heavy_light, most_frequent
 from .mixing import mix_sources, shares, sized
 from .neighbours import nearest_vectors, neighbour_pairs
-from .overlap_join import similar_pairs
+from .overlap_join import similar_pairs, similar_pairs_between
 from .pair_counts import together
 from .repetition import find_repetitive
 from .term_index import keyed_term_frequencies, text_term_frequencies
@@ -39,6 +39,14 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select(F.col("id_a").alias("order_id_a"), F.col("id_b").alias("order_id_b"), F.round("similarity", 6).alias("similarity"))
 
 
+def p1_between(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by web against orders by phone."""
+    lines = table(spark, d, "basket_lines")
+    web, phone = (baskets(lines.where(F.col("channel") == c)) for c in ("web", "phone"))
+    pairs = similar_pairs_between(web, phone, "order_id", "items", 0.75, 2)
+    return pairs.select(F.col("left_id").alias("web_order"), F.col("right_id").alias("phone_order"), F.round("similarity", 6).alias("similarity"))
+
+
 def _clustered(spark: SparkSession, d: str) -> DataFrame:
     return cut(similarity_clusters(vectors(table(spark, d, "feature_frame"), table(spark, d, "feature_spec"))))
 
@@ -142,7 +150,7 @@ def p10_cutoffs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_clusters, p2_compared, p3_found, p3_terms, p4_found, p4_counts, p4_sketch, p6_found, p6_neighbours, p7_found, p7_lifts, p8_ids, p9_mix, p9_shares, p10_found, p10_repetition, p10_cutoffs)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p1_between, p2_found, p2_clusters, p2_compared, p3_found, p3_terms, p4_found, p4_counts, p4_sketch, p6_found, p6_neighbours, p7_found, p7_lifts, p8_ids, p9_mix, p9_shares, p10_found, p10_repetition, p10_cutoffs)}
 
 
 #: Items of lines, and baskets, by the definitions of the test data.
@@ -159,6 +167,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"{_PAIRS} SELECT order_id_a, order_id_b FROM p WHERE 5 * o >= 4 * u",
         "p1_pairs": f"{_PAIRS} SELECT order_id_a, order_id_b, round(similarity, 6) similarity FROM p WHERE 5 * o >= 4 * u",
+        "p1_between": "WITH i AS (SELECT DISTINCT channel, order_id, upper(trim(item_id, ' ' || chr(9))) item FROM basket_lines WHERE order_id IS NOT NULL AND channel IN ('web', 'phone') AND upper(trim(item_id, ' ' || chr(9))) <> ''), s AS (SELECT channel, order_id, count(*) n FROM i GROUP BY 1, 2 HAVING count(*) >= 2), o AS (SELECT a.order_id a, b.order_id b, count(*) o FROM i a JOIN i b ON a.item = b.item AND a.channel = 'web' AND b.channel = 'phone' GROUP BY 1, 2) SELECT a web_order, b phone_order, round(o / (x.n + y.n - o), 6) similarity FROM o JOIN s x ON x.order_id = a AND x.channel = 'web' JOIN s y ON y.order_id = b AND y.channel = 'phone' WHERE 4 * o >= 3 * (x.n + y.n - o)",
         "p2_found": f"WITH RECURSIVE {_VECTORS}, link AS (SELECT a.order_id a, b.order_id b FROM vec a JOIN vec b ON a.order_id <> b.order_id AND abs(a.z[1] - b.z[1]) <= 1.1 AND abs(a.z[3] - b.z[3]) <= 1.1 WHERE round(list_distance(a.z, b.z), 6) <= 1.0), reach(a, b) AS (SELECT order_id, order_id FROM vec UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a), g AS (SELECT a, min(b) first_order_id FROM reach GROUP BY 1), s AS (SELECT first_order_id FROM g GROUP BY 1 HAVING count(*) >= 3) SELECT a order_id, first_order_id FROM g SEMI JOIN s USING (first_order_id)",
         "p3_found": f"{_TERMS} SELECT field_name, term, mark FROM m WHERE mark <> ''",
         "p3_terms": f"{_TERMS} SELECT field_name, term, occurrences, n_records, mark FROM m",
