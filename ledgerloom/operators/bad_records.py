@@ -178,9 +178,10 @@ def prepare_records(records: DataFrame, options: DataFrame, columns: DataFrame)
     """
     raw = records.select(F.col("file_id"), F.col("line_no"), F.col("raw_text").alias("raw"), F.col("loaded_ts"))
     raw = raw.where("file_id is not null and line_no is not null and raw is not null")
-    raw = raw.groupBy("file_id", "line_no").agg(F.max_by("raw", F.struct("loaded_ts", "raw")).alias("raw"))
+    # one shuffle serves both the deliveries of a record and the join
+    raw = raw.withColumn("salt", F.pmod(F.floor(F.col("line_no") / BLOCK), F.lit(SALTS)).cast("int")).repartition("file_id", "salt")
+    raw = raw.groupBy("file_id", "salt", "line_no").agg(F.max_by("raw", F.struct("loaded_ts", "raw")).alias("raw"))
     raw = raw.withColumn("raw", F.regexp_replace("raw", r"\r\z", "")).where("raw <> ''")
-    raw = raw.withColumn("salt", F.pmod(F.floor(F.col("line_no") / BLOCK), F.lit(SALTS)).cast("int"))
     one = Window.partitionBy("file_id", "col_no").orderBy("name", "type_id")  # repeated definitions of a column count once
     columns = columns.where("file_id is not null and col_no is not null").withColumn("nth", F.row_number().over(one)).where("nth = 1")
     columns = columns.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("col_no", "name", "type_id"))).alias("cols"))
