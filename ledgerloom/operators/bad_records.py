@@ -20,10 +20,10 @@ import pyarrow.csv as pacsv
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, ship, small
 
-#: Records of one file that travel together, and copies of a file's definition the blocks spread over.
-BLOCK, SALTS = 2048, 16
+#: Records of one file that are parsed together, and lines of a file that one task takes at most (about).
+BLOCK, PART = 2048, 65_536
 #: A refused block of so many records isn't cut further: its records are all diagnosed.
 ALONE = 16
 
@@ -173,21 +173,24 @@ def prepare_records(records: DataFrame, options: DataFrame, columns: DataFrame)
     Line 1 of a file with a header and empty records are no data; one trailing CR is no part of a
     record. A record delivered again counts once, the latest delivery with a text wins (ties: the
     greater text). Records of a file without options or columns, or with a null key, are left out.
-    The definitions are joined by file and one of SALTS, so that a file with a third of all rows
-    meets its definition in SALTS tasks at least.
+    A file of more than PART records is spread over as many tasks as it has parts, and its definition with
+    it; these files are counted beforehand, from the one column.
     """
     raw = records.select(F.col("file_id"), F.col("line_no"), F.col("raw_text").alias("raw"), F.col("loaded_ts"))
     raw = raw.where("file_id is not null and line_no is not null and raw is not null")
     # one shuffle serves both the deliveries of a record and the join
-    raw = raw.withColumn("salt", F.pmod(F.floor(F.col("line_no") / BLOCK), F.lit(SALTS)).cast("int")).repartition("file_id", "salt")
+    large = cut(records.groupBy("file_id").agg(F.count("*").alias("n")).where((F.col("n") > PART) & F.col("file_id").isNotNull()))
+    large = small(large.select("file_id", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    raw = raw.join(large, "file_id", "left").withColumn("salt", F.pmod(F.floor(F.col("line_no") / BLOCK), parts).cast("int")).drop("parts").repartition("file_id", "salt")
     raw = raw.groupBy("file_id", "salt", "line_no").agg(F.max_by("raw", F.struct("loaded_ts", "raw")).alias("raw"))
     raw = raw.withColumn("raw", F.regexp_replace("raw", r"\r\z", "")).where("raw <> ''")
     one = Window.partitionBy("file_id", "col_no").orderBy("name", "type_id")  # repeated definitions of a column count once
     columns = columns.where("file_id is not null and col_no is not null").withColumn("nth", F.row_number().over(one)).where("nth = 1")
     columns = columns.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("col_no", "name", "type_id"))).alias("cols"))
     options = options.groupBy("file_id").agg(F.max("delimiter").alias("delimiter"), F.max("has_header").alias("has_header"))
-    files = options.join(columns, "file_id").where("delimiter is not null and delimiter <> ''").select(
-        "file_id", "delimiter", "has_header", F.transform("cols", lambda c: F.coalesce(c["name"], F.lit(""))).alias("names"), F.transform("cols", lambda c: F.coalesce(c["type_id"], F.lit(0)).cast("int")).alias("types"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    files = options.join(columns, "file_id").join(large, "file_id", "left").where("delimiter is not null and delimiter <> ''").select(
+        "file_id", "delimiter", "has_header", F.transform("cols", lambda c: F.coalesce(c["name"], F.lit(""))).alias("names"), F.transform("cols", lambda c: F.coalesce(c["type_id"], F.lit(0)).cast("int")).alias("types"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt")
     )
     rows = raw.join(files, ["file_id", "salt"]).where("not (coalesce(has_header, false) and line_no = 1)")
     return rows.select("file_id", "line_no", "raw", "delimiter", "names", "types").sortWithinPartitions("file_id", "line_no")

@@ -124,6 +124,16 @@ def test_edge_cases(spark, files):
     assert typed[("f", 10, 0)][1] == 8 and typed[("g", 2, 0)][2] is True and typed[("h", 1, 0)][0] == "anything"
 
 
+def test_large_files_are_spread(spark, files, monkeypatch):
+    monkeypatch.setattr(B, "PART", 100)
+    monkeypatch.setattr(B, "BLOCK", 8)
+    rows = [("f", i, f"{i},x" if i % 50 else "bad", 1) for i in range(2, 1002)] + [("g", i, "maybe", 1) for i in range(1, 4)]
+    records = spark.createDataFrame(rows, "file_id string, line_no bigint, raw_text string, loaded_ts int")
+    assert B.prepare_records(records, *files).count() == len(rows)
+    parsed = B.parse_records(records, *files)
+    assert {(r.file_id, r.line_no) for r in B.failing_records(parsed).collect()} == {("f", i) for i in range(50, 1002, 50)} | {("g", i) for i in range(1, 4)}
+
+
 def test_empty_tables(spark, files):
     none = spark.createDataFrame([], "file_id string, line_no bigint, raw_text string, loaded_ts int")
     assert B.parse_records(none, *files).count() == 0
