@@ -215,6 +215,8 @@ def _patterns_sql(source: str, per_mille: int, sizes: tuple[int, ...]) -> str:
 _add("patterns_brand", lambda s, d: _patterns(_brand_lines(s, d), 5), _patterns_sql(_BRANDS, 5, (1, 2, 3, 4)))
 _add("patterns_pairs", lambda s, d: _patterns(_brand_lines(s, d), 5, 2), _patterns_sql(_BRANDS, 5, (2,)))
 _add("patterns_items", lambda s, d: _patterns(_sold(s, d), 60), _patterns_sql(_SOLD, 60, (1, 2, 3, 4, 5)))
+# 60 per mille is what the SQL, which stops at 5 items, can follow; at 20 the smallest tables hold longer patterns
+_add("patterns_items_20", lambda s, d: _patterns(_sold(s, d), 20))
 _add("item_support", lambda s, d: itemsets.item_support(_sold(s, d)), f"WITH {_SOLD} SELECT i item, count(*) support FROM b GROUP BY 1")
 _add(
     "eliminated_baskets",

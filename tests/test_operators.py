@@ -298,3 +298,28 @@ def test_ipc_errors(spark):
         read_transactions(spark, ipc(a=["a"], b=[1]))
     big = read_ipc(spark, pa_bytes(pa.table({"u": pa.array([7], pa.uint64())})))
     assert big.schema["u"].dataType.simpleString() == "bigint" and to_ipc(big)
+
+
+def test_patterns_of_items_by_brute_force(spark):
+    """The registered query finds every itemset in at least 20 per mille of the baskets."""
+    from ledgerloom.plans import registry
+
+    from .conftest import DATA
+
+    baskets = {}
+    for r in spark.read.parquet(f"{DATA}/basket_lines.parquet").select("order_id", "item_id").collect():
+        item = (r.item_id or "").strip(" \t").upper()
+        if r.order_id is not None and item:
+            baskets.setdefault(r.order_id, set()).add(item)
+    least = max(2, len(baskets) * 20 // 1000)
+    want, held = {}, {}
+    for i in {i for b in baskets.values() for i in b}:
+        held[(i,)] = {o for o, b in baskets.items() if i in b}
+    held = {p: o for p, o in held.items() if len(o) >= least}
+    single = {p[0]: o for p, o in held.items()}
+    while held:
+        want |= {"|".join(p): len(o) for p, o in held.items()}
+        held = {(*p, i): o & single[i] for p, o in held.items() for i in single if i > p[-1]}
+        held = {p: o for p, o in held.items() if len(o) >= least}
+    got = {r.pattern: r.support for r in registry.queries()["patterns_items_20"](spark, DATA).collect()}
+    assert got == want and max(p.count("|") for p in got) >= 5
