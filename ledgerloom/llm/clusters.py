@@ -1,10 +1,11 @@
 """Similarity clusters by Markov clustering, and the connected groups they belong to.
 
 Vectors within half the link distance of a leader form a ball; all of a ball are linked to
-each other, so dense regions cost balls and not pairs. The balls and their links are the
-similarity graph. Markov clustering alternates squaring of its column-stochastic matrix
+each other; a ball counts as its vectors, with the mean of their weights. The balls and their
+links are the similarity graph. Markov clustering alternates squaring of its column-stochastic matrix
 (a distributed sparse product), inflation and pruning of small entries; the attractor with
-the most flow defines a vector's cluster. Flow never leaves a connected group, so the groups
+the most flow defines a vector's cluster. How typical a vector is comes from its own weights to
+all vectors linked with it. Flow never leaves a connected group, so the groups
 follow exactly from the clusters and the links between them.
 """
 
@@ -38,8 +39,14 @@ def _balls(z: np.ndarray, radius: float) -> np.ndarray:
     return leader
 
 
-def ball_links(points: DataFrame, distance: float) -> tuple[DataFrame, DataFrame]:
-    """(balls: pid, ball; links: a, b, dist with a < b: the least distance, at most ``distance``, of vectors of two balls)."""
+def ball_links(points: DataFrame, copies: DataFrame, distance: float, flow: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vectors: pid, ball, flow; balls: node, n, own; links: a, b, weight with a < b of balls with linked vectors).
+
+    ``copies``: pid, copies: the vectors that are equal to a point. The weight of two linked vectors is
+    exp(-(dist / distance)^2), that of others 0; of two balls, and within one (own), it is the mean over all pairs of
+    vectors. A vector's flow is what it attracts in the column-stochastic matrix of all vectors' weights, the loops
+    included: exact, whatever the balls are. It costs a second search of the links; without ``flow`` it is left out.
+    """
     ship(points.sparkSession)
     blocks = into_blocks(points)
 
@@ -52,68 +59,85 @@ def ball_links(points: DataFrame, distance: float) -> tuple[DataFrame, DataFrame
         yield from by_block(batches, start, lambda state, rows: iter(()))
 
     own = blocks.select("block", F.lit(0).alias("role"), "pid", "z")  # already spread and sorted by block
-    balls = cut(own.mapInArrow(lead, "block int, pid bigint, z array<double>, ball bigint"))
-
-    def least(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-        a, b = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((d, b, a))
-        a, b, d = a[order], b[order], d[order]
-        first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.empty(0, bool)
-        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(d[first])], ["a", "b", "dist"])
+    balls = cut(own.mapInArrow(lead, "block int, pid bigint, z array<double>, ball bigint").join(copies.select("pid", F.col("copies").cast("double").alias("copies")), "pid"))
 
-    def start(rows: pa.RecordBatch) -> tuple:
-        z, ball = matrix(rows.column(3)), np.asarray(rows.column(4))
-        tiles = Tiles(z, distance)
-        return (tiles, ball), links((tiles, ball), rows)
+    def pulls(vectors: DataFrame) -> DataFrame:
+        """pid, ball, copies, other, pull: for each vector and ball the sum of ``share`` times the weight over the ball's vectors."""
 
-    def links(state: tuple, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        tiles, base = state
-        ball = np.asarray(rows.column(4))
-        for i, j, d in tiles.near(matrix(rows.column(3))):
-            other = ball[i] != base[j]
-            yield least(ball[i[other]], base[j[other]], d[other])
-
-    found = with_visitors(balls, distance, ["ball"]).mapInArrow(lambda batches: by_block(batches, start, links), "a bigint, b bigint, dist double")
-    return balls.select("pid", "ball"), cut(found.groupBy("a", "b").agg(F.min("dist").alias("dist")))
+        def start(rows: pa.RecordBatch) -> tuple:
+            names, code = np.unique(np.asarray(rows.column(4)), return_inverse=True)
+            state = Tiles(matrix(rows.column(3)), distance), names, code, np.asarray(rows.column(6))
+            return state, visit(state, rows)
+
+        def visit(state: tuple, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            tiles, names, code, share = state
+            for i, j, d in tiles.near(matrix(rows.column(3))):
+                if not len(i):  # bincount would give integers
+                    continue
+                keys, at = np.unique(i * len(names) + code[j], return_inverse=True)
+                pull = np.bincount(at, share[j] * np.exp(-((d / distance) ** 2)), len(keys))
+                row = pa.array(keys // len(names))
+                yield pa.RecordBatch.from_arrays([rows.column(2).take(row), rows.column(4).take(row), rows.column(5).take(row), pa.array(names[keys % len(names)]), pa.array(pull)], ["pid", "ball", "copies", "other", "pull"])
+
+        return with_visitors(vectors, distance, ["ball", "copies", "share"]).mapInArrow(lambda batches: by_block(batches, start, visit), "pid bigint, ball bigint, copies double, other bigint, pull double")
+
+    first = cut(pulls(balls.withColumn("share", F.col("copies"))))
+    own_flow = balls.select("pid", "ball")
+    if flow:
+        total = first.groupBy("pid").agg(F.sum("pull").alias("total"))
+        second = pulls(balls.join(total, "pid").withColumn("share", F.col("copies") / F.col("total")))
+        # equal flows are equal whatever the order of their sums
+        own_flow = second.groupBy("pid", "ball").agg(F.round(F.sum("pull"), 9).alias("flow"))
+    sizes = balls.groupBy("ball").agg(F.sum("copies").alias("n"))
+    between = cut(first.where("ball <= other").groupBy("ball", "other").agg(F.sum(F.col("copies") * F.col("pull")).alias("sum")))
+    inner = between.where("ball = other").select("ball", "sum")
+    nodes = cut(sizes.join(inner, "ball").select(F.col("ball").alias("node"), "n", (F.col("sum") / (F.col("n") * F.col("n"))).alias("own")))
+    a, b = nodes.select(F.col("node").alias("a"), F.col("n").alias("na")), nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
+    links = between.where("ball < other").select(F.col("ball").alias("a"), F.col("other").alias("b"), "sum").join(a, "a").join(b, "b")
+    return own_flow, nodes, cut(links.select("a", "b", (F.col("sum") / (F.col("na") * F.col("nb"))).alias("weight")))
 
 
 def _inflated(entries: DataFrame, power: float, prune: float) -> DataFrame:
     """Columns raised to a power, freed of small entries and made to sum to 1; the largest entry of a column stays.
 
-    Gives i, j, v and the column's greatest entry and chaos: that entry less the sum of squares, 0 where the column has
-    one entry or equal ones. All of it within one partitioning by column.
+    An entry stands for n equal ones, of the vectors of its row. Gives i, n, j, v and the column's greatest entry and
+    chaos: 1 less the sum of squares over that entry, 0 where the column has one entry or equal ones. All of it within
+    one partitioning by column.
     """
     col = Window.partitionBy("j")
     e = entries.withColumn("v", F.pow("v", F.lit(power)))
-    e = e.withColumns({"all": F.sum("v").over(col), "most": F.max("v").over(col)}).where((F.col("v") >= F.lit(prune) * F.col("all")) | (F.col("v") == F.col("most")))
-    e = e.withColumn("kept", F.sum("v").over(col)).select("i", "j", (F.col("v") / F.col("kept")).alias("v"), (F.col("most") / F.col("kept")).alias("most"))
-    return e.withColumn("chaos", F.col("most") - F.sum(F.col("v") * F.col("v")).over(col))
+    e = e.withColumns({"all": F.sum(F.col("n") * F.col("v")).over(col), "most": F.max("v").over(col)}).where((F.col("n") * F.col("v") >= F.lit(prune) * F.col("all")) | (F.col("v") == F.col("most")))
+    e = e.withColumn("kept", F.sum(F.col("n") * F.col("v")).over(col)).select("i", "n", "j", (F.col("v") / F.col("kept")).alias("v"), (F.col("most") / F.col("kept")).alias("most"))
+    return e.withColumn("chaos", F.lit(1.0) - F.sum(F.col("n") * F.col("v") * F.col("v")).over(col) / F.col("most"))
 
 
-def markov_clusters(edges: DataFrame, inflation: float = INFLATION, prune: float = PRUNE, rounds: int = ROUNDS, steady: float = STEADY) -> DataFrame:
-    """node, cluster, flow: the attractor of each node of the graph, and the flow that the node attracts early on.
+def markov_clusters(edges: DataFrame, inflation: float = INFLATION, prune: float = PRUNE, rounds: int = ROUNDS, steady: float = STEADY, nodes: DataFrame | None = None) -> DataFrame:
+    """node, cluster: the attractor of each node of the graph.
 
-    ``edges``: a, b, weight > 0, undirected, each once, no loops. The rows with the most flow in a node's column are
-    its attractors; nodes that share attractors are a cluster, named by its least node. flow tells how typical a node is.
+    ``edges``: a, b, weight > 0, undirected, each once, no loops. ``nodes``: node, n, own: a node stands for n vectors
+    with the same edges, linked to each other by own; the flow is then that of the graph of the vectors. Without it a
+    node is one vector, its loop its greatest weight. The rows with the most flow in a node's column are its
+    attractors; nodes that share attractors are a cluster, named by its least node.
     """
     both = edges.select(F.col("a").alias("i"), F.col("b").alias("j"), F.col("weight").alias("v")).unionByName(edges.select(F.col("b").alias("i"), F.col("a").alias("j"), F.col("weight").alias("v")))
     loops = both.groupBy("j").agg(F.max("v").alias("v")).select(F.col("j").alias("i"), "j", "v")
-    m = cut(_inflated(both.unionByName(loops), 1.0, prune))
-    flow = None
+    if nodes is None:
+        entries = both.unionByName(loops).withColumn("n", F.lit(1.0))
+    else:
+        of = nodes.select(F.col("node").alias("i"), "n", "own")
+        entries = both.join(of.drop("own"), "i").unionByName(loops.drop("v").join(of, "i").withColumnRenamed("own", "v"))
+    m = cut(_inflated(entries, 1.0, prune))
     for _ in range(rounds):
-        left, right = m.select("i", F.col("j").alias("k"), F.col("v").alias("x")), m.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
-        square = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+        left, right = m.select("i", "n", F.col("j").alias("k"), F.col("v").alias("x")), m.select(F.col("i").alias("k"), "j", (F.col("n") * F.col("v")).alias("y"))
+        square = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"), F.first("n").alias("n"))
         m = cut(_inflated(square, inflation, prune))
-        if flow is None:
-            flow = cut(m.groupBy(F.col("i").alias("node")).agg(F.sum("v").alias("flow")))
         chaos = m.agg(F.max("chaos")).first()[0]
         if chaos is None or chaos < steady:
             break
     # attractors that share their flow are one system: a column belongs to all rows with about as much as its strongest
     strong = m.where(F.col("v") >= F.col("most") / 2)
     systems = connected(strong.select(F.col("i").alias("a"), F.col("j").alias("b")))
-    nodes = m.select(F.col("j").alias("node")).distinct()
-    return nodes.join(systems, "node", "left").join(flow, "node", "left").select("node", F.coalesce("root", "node").alias("cluster"), F.coalesce("flow", F.lit(0.0)).alias("flow"))
+    return m.select(F.col("j").alias("node")).distinct().join(systems, "node", "left").select("node", F.coalesce("root", "node").alias("cluster"))
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -138,23 +162,24 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return roots.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
-def similarity_clusters(vecs: DataFrame, distance: float = 1.0, inflation: float = INFLATION, prune: float = PRUNE) -> DataFrame:
-    """id, cluster, flow, group_no of each vector (id, z): its Markov cluster and its connected group.
+def similarity_clusters(vecs: DataFrame, distance: float = 1.0, inflation: float = INFLATION, prune: float = PRUNE, flow: bool = True) -> DataFrame:
+    """id, cluster, flow (if asked for), group_no of each vector (id, z): its Markov cluster and its connected group.
 
     Two vectors are linked if their distance is at most ``distance``. A vector without links is a cluster and a
     group of its own. Equal vectors are always together. An empty table gives no rows.
     """
     points, members = classes(vecs)
-    balls, links = ball_links(points, distance)
-    weight = F.exp(-(F.col("dist") / F.lit(float(distance))) ** 2)
-    found = cut(markov_clusters(links.select("a", "b", weight.alias("weight")), inflation, prune))
+    members = cut(members)
+    vectors, nodes, links = ball_links(points, members.groupBy("pid").agg(F.count("*").alias("copies")), distance, flow)
+    found = cut(markov_clusters(links, inflation, prune, nodes=nodes))
     # links between clusters join them to groups
     a, b = found.select(F.col("node").alias("a"), F.col("cluster").alias("ca")), found.select(F.col("node").alias("b"), F.col("cluster").alias("cb"))
     between = links.select("a", "b").join(a, "a").join(b, "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     roots = connected(between).select(F.col("node").alias("cluster"), "root")
-    named = found.join(roots, "cluster", "left").select(F.col("node").alias("ball"), "cluster", "flow", F.coalesce("root", "cluster").alias("group_no"))
-    of = balls.join(named, "ball", "left").select("pid", F.coalesce("cluster", "ball").alias("cluster"), F.coalesce("flow", F.lit(0.0)).alias("flow"), F.coalesce("group_no", "ball").alias("group_no"))
-    return members.join(of, "pid").select("id", "cluster", "flow", "group_no")
+    named = found.join(roots, "cluster", "left").select(F.col("node").alias("ball"), "cluster", F.coalesce("root", "cluster").alias("group_no"))
+    kept = ["flow"] if flow else []
+    of = vectors.join(named, "ball", "left").select("pid", F.coalesce("cluster", "ball").alias("cluster"), *kept, F.coalesce("group_no", "ball").alias("group_no"))
+    return members.join(of, "pid").select("id", "cluster", *kept, "group_no")
 
 
 def describe_clusters(clustered: DataFrame, by: str = "cluster", members: int = 3) -> DataFrame:

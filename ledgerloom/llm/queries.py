@@ -47,8 +47,8 @@ def p1_between(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("left_id").alias("web_order"), F.col("right_id").alias("phone_order"), F.round("similarity", 6).alias("similarity"))
 
 
-def _clustered(spark: SparkSession, d: str) -> DataFrame:
-    return cut(similarity_clusters(vectors(table(spark, d, "feature_frame"), table(spark, d, "feature_spec"))))
+def _clustered(spark: SparkSession, d: str, flow: bool = False) -> DataFrame:
+    return cut(similarity_clusters(vectors(table(spark, d, "feature_frame"), table(spark, d, "feature_spec")), flow=flow))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +58,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return describe_clusters(_clustered(spark, d)).select(F.col("first_id").alias("first_order_id"), "size", "typical")
+    return describe_clusters(_clustered(spark, d, flow=True)).select(F.col("first_id").alias("first_order_id"), "size", "typical")
 
 
 def p2_compared(spark: SparkSession, d: str) -> DataFrame:

@@ -132,3 +132,39 @@ def test_tiles_lose_nothing():
         some = {(int(a), int(b)) for i, j, _ in vectors.Tiles(base, 1.0).near(q, 5) for a, b in zip(i, j)}
         for a in range(50):
             assert {(a, b) for _, b in sorted((d[a, b], b) for b in range(400))[:5] if d[a, b] <= 1.0} <= some
+
+
+def test_flow_is_that_of_the_vectors(spark, blocks):
+    """Each vector's flow from its own weights, also within one ball, and the most typical members by it."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(40, 4)) * 0.12, [40.0, 0, 0, 0] + rng.normal(size=(50, 4)) * 0.4, [[90.0, 0, 0, 0]]]).round(3)
+    x = np.r_[x, x[:2], x[60:61]]  # copies
+    rows = clusters.similarity_clusters(frame(spark, x), 1.0)
+    d = distances(x)
+    w = np.where(d <= 1.0, np.exp(-d * d), 0.0)
+    want = (w / w.sum(0)).sum(1)
+    got = {int(r.id[1:]): r for r in rows.collect()}
+    assert np.allclose([got[i].flow for i in range(len(x))], want, atol=1e-8)
+    assert len({got[i].cluster for i in range(40)}) == 1
+    told = {r.cluster: r.typical for r in clusters.describe_clusters(rows).collect()}
+    of = got[0].cluster
+    assert told[of] == [f"o{i:04d}" for i in sorted((i for i in got if got[i].cluster == of), key=lambda i: (-round(want[i], 9), i))[:3]] != ["o0000", "o0001", "o0002"]
+
+
+def test_balls_weigh_as_their_vectors(spark):
+    """A node of n vectors is clustered as n nodes with the same edges."""
+    # node 1 lies between a large and a small node, a little nearer to the small one
+    n, own, edges = {0: 30, 1: 1, 2: 2}, 1.0, [(0, 1, 0.5), (1, 2, 0.6)]
+    nodes = spark.createDataFrame([(k, float(v), own) for k, v in n.items()], "node bigint, n double, own double")
+    got = {r.node: r.cluster for r in clusters.markov_clusters(spark.createDataFrame(edges, "a bigint, b bigint, weight double"), nodes=nodes).collect()}
+    first = {0: 0, 1: 30, 2: 31}
+    of = [k for k, v in n.items() for _ in range(v)]
+    weight = {frozenset(e[:2]): e[2] for e in edges}
+    m = np.array([[own if a == b else weight.get(frozenset((a, b)), 0.0) for b in of] for a in of])
+    m /= m.sum(0)
+    for _ in range(30):
+        m = (m @ m) ** 2
+        m /= m.sum(0)
+    side = {k: of[int(np.argmax(m[:, first[k]]))] for k in n}
+    assert {(a, b): got[a] == got[b] for a in n for b in n} == {(a, b): side[a] == side[b] for a in n for b in n}
+    assert got[0] == got[1] != got[2]
