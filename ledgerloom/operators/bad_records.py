@@ -113,6 +113,8 @@ def _parse_block(records: pa.Array, delimiter: str, types: list[int]) -> list[pa
     pattern = _legal(delimiter, len(types))
     if not pattern or not 1 <= len(types) <= 200 or not pc.all(pc.match_substring_regex(records, pattern)).as_py():
         return None
+    if pc.any(pc.ends_with(records, "\r")).as_py():  # with the line end that follows it would be taken for CR LF
+        return None
     text = "\n".join(records.to_pylist()) + "\n"
     names = [str(i) for i in range(len(types))]
     try:

@@ -155,3 +155,13 @@ def test_whole_tables(spark):
                 want[r.file_id, r.line_no] = found
     got = {(r.file_id, r.line_no): (r.reason, r.column_name) for r in B.failing_records(B.parse_records(raw, options, columns)).collect()}
     assert got == want
+
+
+def test_record_that_ends_in_cr_among_valid_ones():
+    """A CR that remains is part of the last field, whatever the record's neighbours."""
+    records = pa.array([*(f"a,{i}" for i in range(100)), "a,5\r", *(f"b,{i}" for i in range(100))])
+    good, single, failed = B.check_block(records, ",", ["s", "n"], [0, 1])
+    assert failed == [(100, "invalid_value", "n")]
+    assert sum(n for _, n, _ in good) + len(single) == 200
+    good, single, failed = B.check_block(records, ",", ["s", "t"], [0, 0])
+    assert not failed and [f for i, f in single if i == 100] == [["a", "5\r"]]
