@@ -2,7 +2,8 @@
 
 Within a block, products of int8 codes give all distances with a quantisation error bound;
 pairs that the bound can't exclude from a vector's k nearest are computed again in float.
-A vector visits every block within the radius; its lists merge to the k nearest overall.
+A vector visits every block within the radius, or without one those nearer than the k-th
+distance of its home block; its lists merge to the k nearest overall.
 The result is exact: the loss of accuracy is 0.
 """
 
@@ -15,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.knn import nearest
 from ..operators.space import by_block, into_blocks, matrix, with_visitors
 from ..session import cut, ship
-from .vectors import Tiles, classes
+from .vectors import DECIMALS, Tiles, classes
 
 
 def _nearest(tiles: Tiles, base_pid: np.ndarray, pid: np.ndarray, z: np.ndarray, k: int) -> pa.RecordBatch:
@@ -39,9 +41,16 @@ def _nearest(tiles: Tiles, base_pid: np.ndarray, pid: np.ndarray, z: np.ndarray,
     return pa.RecordBatch.from_arrays([pa.array(cat(q, np.int64)), pa.array(cat(nbr, np.int64)), pa.array(cat(dist, np.float64))], ["pid", "nbr", "dist"])
 
 
-def nearest_points(points: DataFrame, k: int, radius: float) -> DataFrame:
-    """pid, nbr, dist: the k nearest other points of each point within ``radius``; of equal distances the smaller pid is nearer."""
+def nearest_points(points: DataFrame, k: int, radius: float | None = None) -> DataFrame:
+    """pid, nbr, dist: the k nearest other points of each point (within ``radius``, if there is one); of equal distances the smaller pid is nearer.
+
+    Without a radius the home block gives each point an upper bound of its k-th distance, and the point then visits
+    only blocks that are nearer than that.
+    """
     ship(points.sparkSession)
+    blocks = into_blocks(points)
+    schema = "pid bigint, nbr bigint, dist double"
+    best = Window.partitionBy("pid").orderBy("dist", "nbr")
 
     def start(rows: pa.RecordBatch) -> tuple:
         pid, z = np.asarray(rows.column(2)), matrix(rows.column(3))
@@ -52,16 +61,37 @@ def nearest_points(points: DataFrame, k: int, radius: float) -> DataFrame:
         tiles, base = state
         yield _nearest(tiles, base, np.asarray(rows.column(2)), matrix(rows.column(3)), k)
 
-    found = with_visitors(into_blocks(points), radius).mapInArrow(lambda batches: by_block(batches, start, visit), "pid bigint, nbr bigint, dist double")
-    best = Window.partitionBy("pid").orderBy("dist", "nbr")
+    def rounded(z: np.ndarray, pid: np.ndarray, rows: pa.RecordBatch) -> pa.RecordBatch:
+        q, p, d = nearest(z, pid, matrix(rows.column(3)), np.asarray(rows.column(2)), k, DECIMALS)
+        return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(p, pa.int64()), pa.array(np.round(d, DECIMALS), pa.float64())], ["pid", "nbr", "dist"])
+
+    def at_home(rows: pa.RecordBatch) -> tuple:
+        return None, [rounded(matrix(rows.column(3)), np.asarray(rows.column(2)), rows)]
+
+    def hold(rows: pa.RecordBatch) -> tuple:
+        return (matrix(rows.column(3)), np.asarray(rows.column(2))), []
+
+    def visit_any(state: tuple, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield rounded(*state, rows)
+
+    if radius is not None:
+        found = with_visitors(blocks, radius).mapInArrow(lambda batches: by_block(batches, start, visit), schema)
+    else:
+        own = blocks.select("block", F.lit(0).alias("role"), "pid", "z")  # already spread and sorted by block
+        home = own.mapInArrow(lambda batches: by_block(batches, at_home, visit_any), schema)
+        home = cut(home.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).drop("nth"))
+        reach = home.groupBy("pid").agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(F.lit(1e150)).alias("reach"))
+        reaching = blocks.join(reach, "pid", "left").select("block", "pid", "z", F.coalesce("reach", F.lit(1e150)).alias("reach"))
+        away = with_visitors(reaching, "reach").mapInArrow(lambda batches: by_block(batches, hold, visit_any), schema)
+        found = home.unionByName(away)
     return found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select("pid", "nbr", "dist")
 
 
-def nearest_vectors(vecs: DataFrame, k: int = 5, radius: float = 3.0) -> DataFrame:
-    """id, neighbours ARRAY<STRUCT<dist, id>>: the k nearest other vectors of each within ``radius``, nearest first.
+def nearest_vectors(vecs: DataFrame, k: int = 5, radius: float | None = None) -> DataFrame:
+    """id, neighbours ARRAY<STRUCT<dist, id>>: the k nearest other vectors of each, nearest first.
 
     ``vecs``: id, z as :func:`vectors.vectors` gives them. Of equal distances (rounded to 6 decimals) the smaller
-    id is nearer. Vectors with fewer than k others within the radius have fewer. Equal vectors are searched once.
+    id is nearer. With a ``radius`` only others within it count, and vectors with fewer than k of them have fewer. Equal vectors are searched once.
     An empty table gives no rows.
     """
     points, members = classes(vecs)

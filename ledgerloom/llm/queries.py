@@ -97,8 +97,13 @@ def p4_sketch(spark: SparkSession, d: str) -> DataFrame:
     return bounds(*heavy_light(_top_items(spark, d), "item_id"))
 
 
-def _neighbours(spark: SparkSession, d: str) -> DataFrame:
-    return nearest_vectors(vectors(table(spark, d, "feature_frame"), table(spark, d, "feature_spec")), 5, 3.0)
+def _neighbours(spark: SparkSession, d: str, radius: float | None = 3.0) -> DataFrame:
+    return nearest_vectors(vectors(table(spark, d, "feature_frame"), table(spark, d, "feature_spec")), 5, radius)
+
+
+def _listed(near: DataFrame) -> DataFrame:
+    rows = near.select("id", F.posexplode("neighbours").alias("nth", "n"))
+    return rows.select(F.col("id").alias("order_id"), (F.col("nth") + 1).alias("nth"), F.col("n.id").alias("neighbour_id"), F.col("n.dist").alias("distance"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -106,9 +111,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    near = _neighbours(spark, d)
-    rows = near.select("id", F.posexplode("neighbours").alias("nth", "n"))
-    return rows.select(F.col("id").alias("order_id"), (F.col("nth") + 1).alias("nth"), F.col("n.id").alias("neighbour_id"), F.col("n.dist").alias("distance"))
+    """Within the radius of p6_found."""
+    return _listed(_neighbours(spark, d))
+
+
+def p6_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """Of every vector, however far they are."""
+    return _listed(_neighbours(spark, d, None))
 
 
 def _together(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +159,7 @@ def p10_cutoffs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p1_between, p2_found, p2_clusters, p2_compared, p3_found, p3_terms, p4_found, p4_counts, p4_sketch, p6_found, p6_neighbours, p7_found, p7_lifts, p8_ids, p9_mix, p9_shares, p10_found, p10_repetition, p10_cutoffs)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p1_between, p2_found, p2_clusters, p2_compared, p3_found, p3_terms, p4_found, p4_counts, p4_sketch, p6_found, p6_neighbours, p6_nearest, p7_found, p7_lifts, p8_ids, p9_mix, p9_shares, p10_found, p10_repetition, p10_cutoffs)}
 
 
 #: Items of lines, and baskets, by the definitions of the test data.

@@ -18,8 +18,8 @@ from .validate import MAX_FEATURES
 PAIRS = 1_000_000
 
 
-def nearest(base: np.ndarray, base_pid: np.ndarray, z: np.ndarray, pid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pid, neighbour, distance): for each query the k nearest of the base, itself left out, ties by number."""
+def nearest(base: np.ndarray, base_pid: np.ndarray, z: np.ndarray, pid: np.ndarray, k: int, decimals: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pid, neighbour, distance): for each query the k nearest of the base, itself left out, ties by number; with ``decimals`` of rounded distances."""
     out = []
     rows = max(1, PAIRS // max(1, len(base)))
     for at in range(0, len(z), rows):
@@ -27,6 +27,8 @@ def nearest(base: np.ndarray, base_pid: np.ndarray, z: np.ndarray, pid: np.ndarr
         d2 = np.zeros((len(q), len(base)))
         for d in range(base.shape[1]):
             d2 += (q[:, d : d + 1] - base[None, :, d]) ** 2
+        if decimals is not None:
+            d2 = np.round(np.sqrt(d2), decimals) ** 2
         d2[qp[:, None] == base_pid[None, :]] = np.inf
         if len(base) > k:
             kth = np.partition(d2, k - 1, axis=1)[:, k - 1]

@@ -168,3 +168,12 @@ def test_balls_weigh_as_their_vectors(spark):
     side = {k: of[int(np.argmax(m[:, first[k]]))] for k in n}
     assert {(a, b): got[a] == got[b] for a in n for b in n} == {(a, b): side[a] == side[b] for a in n for b in n}
     assert got[0] == got[1] != got[2]
+
+
+def test_neighbours_without_a_radius(spark, blocks):
+    x = data(6)
+    got = {r.id: [(n.id, n.dist) for n in r.neighbours] for r in neighbours.nearest_vectors(frame(spark, x), 5).collect()}
+    d = distances(x)
+    for i in range(len(x)):
+        want = [(f"o{j:04d}", dist) for dist, j in sorted((d[i, j], j) for j in range(len(x)) if j != i)[:5]]
+        assert got[f"o{i:04d}"] == want
