@@ -257,18 +257,24 @@ def _kmeans_sql(k: int, iterations: int, out: str) -> str:
     return f"WITH {', '.join(parts)} {out.format(a=f'a{iterations - 1}', c=f'c{iterations - 1}')}"
 
 
-def _seeded(spark: SparkSession, d: str, iterations: int) -> tuple[DataFrame, list[list[float]]]:
+def _seeded(spark: SparkSession, d: str, iterations: int = clustering.ITERATIONS) -> tuple[DataFrame, list[list[float]]]:
     rows = _square(spark, d).withColumn("seq", F.col("order_id").cast("bigint"))
     return clustering.kmeans_farthest_first(rows, ["balance", "nation"], 3, "seq", iterations)
 
 
 _add("kmeans_farthest_first", lambda s, d: _seeded(s, d, 4)[0].select("order_id", "cluster_id"), _kmeans_sql(3, 4, "SELECT order_id, CAST(c AS BIGINT) cluster_id FROM {a}"))
 _add("kmeans_assign", lambda s, d: _seeded(s, d, 1)[0].select("order_id", "cluster_id"), _kmeans_sql(3, 1, "SELECT order_id, CAST(c AS BIGINT) cluster_id FROM {a}"))
-_add(
-    "kmeans_centroids",
-    lambda s, d: s.createDataFrame([(i, float(c[0]), float(c[1])) for i, c in enumerate(_seeded(s, d, 4)[1])], "cluster_id bigint, f0 double, f1 double").select("cluster_id", F.round("f0", 6).alias("f0"), F.round("f1", 6).alias("f1")),
-    _kmeans_sql(3, 4, "SELECT CAST(c AS BIGINT) cluster_id, round(f0, 6) f0, round(f1, 6) f1 FROM {c}"),
-)
+
+
+def _centroids(spark: SparkSession, centres: list[list[float]]) -> DataFrame:
+    rows = spark.createDataFrame([(i, float(c[0]), float(c[1])) for i, c in enumerate(centres)], "cluster_id bigint, f0 double, f1 double")
+    return rows.select("cluster_id", F.round("f0", 6).alias("f0"), F.round("f1", 6).alias("f1"))
+
+
+_add("kmeans_centroids", lambda s, d: _centroids(s, _seeded(s, d, 4)[1]), _kmeans_sql(3, 4, "SELECT CAST(c AS BIGINT) cluster_id, round(f0, 6) f0, round(f1, 6) f1 FROM {c}"))
+# until steady; the SQL of the others unrolls each iteration
+_add("kmeans_steady", lambda s, d: _seeded(s, d)[0].select("order_id", "cluster_id"))
+_add("kmeans_steady_centroids", lambda s, d: _centroids(s, _seeded(s, d)[1]))
 
 
 def _clean_frame(spark: SparkSession, d: str) -> DataFrame:

@@ -323,3 +323,18 @@ def test_patterns_of_items_by_brute_force(spark):
         held = {p: o for p, o in held.items() if len(o) >= least}
     got = {r.pattern: r.support for r in registry.queries()["patterns_items_20"](spark, DATA).collect()}
     assert got == want and max(p.count("|") for p in got) >= 5
+
+
+def test_registered_kmeans_is_steady(spark):
+    """Each row is nearest to its own centre, and each centre is the mean of its rows."""
+    from ledgerloom.plans import analytics, registry
+
+    from .conftest import DATA
+
+    cluster = {r.order_id: r.cluster_id for r in registry.queries()["kmeans_steady"](spark, DATA).collect()}
+    centres = np.array([[r.f0, r.f1] for r in registry.queries()["kmeans_steady_centroids"](spark, DATA).orderBy("cluster_id").collect()])
+    rows = analytics._square(spark, DATA).collect()
+    x, c = np.array([[r.balance, r.nation] for r in rows]), np.array([cluster[r.order_id] for r in rows])
+    d = ((x[:, None] - centres[None]) ** 2).sum(2)
+    assert (d[np.arange(len(x)), c] <= d.min(1) + 1e-5).all()
+    assert np.allclose([x[c == k].mean(0) for k in range(3)], centres, atol=1e-5)
