@@ -59,12 +59,12 @@ def read_csv(spark: SparkSession, path: str, options: CsvReadOptions | None = No
     return raw.select(*out)
 
 
-def infer_types(df: DataFrame, rows: int = 100) -> dict[str, str]:
-    """Types of string columns by their first rows: bigint if all values are, else double if all are, else string.
+def infer_types(df: DataFrame, rows: int | None = None) -> dict[str, str]:
+    """Types of string columns by all rows, or by at most ``rows`` of them: bigint if all values are, else double if all are, else string.
 
     An empty or missing value makes a column a string. One aggregated row.
     """
-    sample = df.limit(rows)
+    sample = df if rows is None else df.limit(rows)
     tests = []
     for i, c in enumerate(df.columns):
         v = F.col(f"`{c}`")

@@ -173,3 +173,9 @@ def test_stream_takes_each_file_once(spark, tmp_path):
         (tmp_path / "src" / f"{i}.csv").write_text(f"a,b\n{i},x\n")
         csv_to_parquet(spark, src, out, state, hint(1, 0)).awaitTermination()
         assert spark.read.parquet(out).count() == i + 1
+
+
+def test_types_are_inferred_from_all_rows(spark):
+    df = spark.range(300).selectExpr("cast(id as string) a", "case when id = 299 then 'x' else cast(id as string) end b").coalesce(1)
+    assert infer_types(df) == {"a": "bigint", "b": "string"}
+    assert infer_types(df, 100) == {"a": "bigint", "b": "bigint"}
