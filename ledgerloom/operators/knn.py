@@ -2,84 +2,79 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..session import cut
-from .space import by_block, into_blocks, matrix, with_visitors
+from .space import Cells, Products, by_block, into_blocks, matrix, nearest, with_visitors
 from .validate import MAX_FEATURES
 
-#: Pairs whose distances a task holds at once.
-PAIRS = 1_000_000
-
-
-def nearest(base: np.ndarray, base_pid: np.ndarray, z: np.ndarray, pid: np.ndarray, k: int, decimals: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pid, neighbour, distance): for each query the k nearest of the base, itself left out, ties by number; with ``decimals`` of rounded distances."""
-    out = []
-    rows = max(1, PAIRS // max(1, len(base)))
-    for at in range(0, len(z), rows):
-        q, qp = z[at : at + rows], pid[at : at + rows]
-        d2 = np.zeros((len(q), len(base)))
-        for d in range(base.shape[1]):
-            d2 += (q[:, d : d + 1] - base[None, :, d]) ** 2
-        if decimals is not None:
-            d2 = np.round(np.sqrt(d2), decimals) ** 2
-        d2[qp[:, None] == base_pid[None, :]] = np.inf
-        if len(base) > k:
-            kth = np.partition(d2, k - 1, axis=1)[:, k - 1]
-            i, j = np.nonzero((d2 <= kth[:, None]) & (d2 < np.inf))
-        else:
-            i, j = np.nonzero(d2 < np.inf)
-        d, p = np.sqrt(d2[i, j]), base_pid[j]
-        order = np.lexsort((p, d, i))
-        i, p, d = i[order], p[order], d[order]
-        first = np.r_[0, np.nonzero(np.diff(i))[0] + 1] if len(i) else np.empty(0, np.int64)
-        nth = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
-        out.append((qp[i[nth < k]], p[nth < k], d[nth < k]))
-    if not out:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    return tuple(np.concatenate(x) for x in zip(*out))
+#: A reach that has no end; its square is still finite.
+ENDLESS = 1e150
+#: Neighbours of points: lists in order, as the tasks give them.
+_LISTS = "pid bigint, near array<struct<dist:double,nbr:bigint>>"
 
 
-def knn(df: DataFrame, id_col: str, vector: Column, k: int) -> DataFrame:
-    """id, neighbour, distance, nth: the k nearest other rows of each row (ids are unique; ties by id; k is clamped to the rows there are).
+def lists(q: np.ndarray, p: np.ndarray, d: np.ndarray, n: int) -> pa.ListArray:
+    """The neighbours of each of n queries as a list column; rows in order of the query."""
+    ends = np.r_[0, np.cumsum(np.bincount(q, minlength=n))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(d, pa.float64()), pa.array(p, pa.int64())], ["dist", "nbr"]))
 
-    Spatial blocks bound the work: the home block gives each row an upper bound of its k-th distance, and the row then
-    visits only blocks that are nearer than that.
-    """
-    if k < 1:
-        raise ValidationError("k must be at least 1")
-    rows = df.select(F.col(id_col).alias("id"), vector.alias("z")).where("id is not null")
-    points = cut(rows.repartitionByRange("id").sortWithinPartitions("id").withColumn("pid", F.monotonically_increasing_id()))
-    blocks = into_blocks(points.select("pid", "z"))
-    schema = "pid bigint, nbr bigint, dist double"
 
-    def batch(got: tuple) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64())], ["pid", "nbr", "dist"])
+def nearest_lists(points: DataFrame, k: int, screen: Callable = Products, radius: float = ENDLESS, slack: float = 1e-12) -> DataFrame:
+    """pid, near: the k nearest other points of each point (pid, z) within ``radius``, in order of (distance, pid); exact.
+
+    Spatial blocks bound the work: the home block gives each point an upper bound of its k-th distance, and the point
+    then visits only blocks that are nearer than that. Lists of all blocks are merged. ``screen`` makes the object that
+    compares queries with a cell's rows, see :func:`space.nearest`.
+    """
+    blocks = into_blocks(points)
 
     def start(rows: pa.RecordBatch) -> tuple:
-        pid, z = np.asarray(rows.column(2)), matrix(rows.column(3))
-        return (z, pid), []
+        z = matrix(rows.column(3))
+        cells = Cells(z)
+        return cells, [screen(z[r]) for r in cells.rows], np.asarray(rows.column(2))
 
     def at_home(rows: pa.RecordBatch) -> tuple:
-        (z, pid), _ = start(rows)
-        return None, [batch(nearest(z, pid, z, pid, k))]
+        state, z, pid = start(rows), matrix(rows.column(3)), np.asarray(rows.column(2))
+        q, p, d = nearest(*state, z, pid, np.full(len(z), radius), k, slack)
+        far, held = np.full(len(z), -1.0), np.bincount(q, minlength=len(z))
+        np.maximum.at(far, q, d)
+        reach = np.where(held >= k, np.minimum(far + slack, radius), radius)
+        return None, [pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array(reach), lists(q, p, d, len(z))], ["block", "pid", "z", "reach", "near"])]
+
+    def hold(rows: pa.RecordBatch) -> tuple:
+        return start(rows), []
 
     def visit(state: tuple, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield batch(nearest(*state, matrix(rows.column(3)), np.asarray(rows.column(2)), k))
+        z, pid = matrix(rows.column(3)), np.asarray(rows.column(2))
+        q, p, d = nearest(*state, z, pid, np.asarray(rows.column(4)), k, slack)
+        hit = np.unique(q)  # a visit that finds nothing gives no row
+        yield pa.RecordBatch.from_arrays([rows.column(2).take(pa.array(hit)), lists(np.searchsorted(hit, q), p, d, len(hit))], ["pid", "near"])
 
     own = blocks.select("block", F.lit(0).alias("role"), "pid", "z")  # already spread and sorted by block
-    home = cut(own.mapInArrow(lambda b: by_block(b, at_home, visit), schema))
-    reach = home.groupBy("pid").agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(F.lit(1e300)).alias("reach"))
-    reaching = blocks.join(reach, "pid", "left").withColumn("reach", F.coalesce("reach", F.lit(1e150))).select("block", "pid", "z", F.least("reach", F.lit(1e150)).alias("reach"))
-    away = with_visitors(reaching, "reach").mapInArrow(lambda b: by_block(b, start, visit), schema)
-    best = Window.partitionBy("pid").orderBy("dist", "nbr")
-    near = home.unionByName(away).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k)
+    home = cut(own.mapInArrow(lambda b: by_block(b, at_home, lambda state, rows: iter(())), f"block int, pid bigint, z array<double>, reach double, {_LISTS.split(', ', 1)[1]}"))
+    away = with_visitors(home.select("block", "pid", "z", "reach"), "reach", ["reach"]).mapInArrow(lambda b: by_block(b, hold, visit), _LISTS)
+    every = home.select("pid", "near").unionByName(away)
+    return every.groupBy("pid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+
+
+def knn(df: DataFrame, id_col: str, vector: Column, k: int) -> DataFrame:
+    """id, neighbour, distance, nth: the k nearest other rows of each row (ids are unique; ties by id; k is clamped to the rows there are).
+
+    See :func:`nearest_lists` for how the work is bounded.
+    """
+    if k < 1:
+        raise ValidationError("k must be at least 1")
+    rows = df.select(F.col(id_col).alias("id"), vector.alias("z")).where("id is not null")
+    points = cut(rows.repartitionByRange("id").sortWithinPartitions("id").withColumn("pid", F.monotonically_increasing_id()))
+    near = nearest_lists(points.select("pid", "z"), k).select("pid", F.posexplode("near").alias("pos", "n"))
+    near = near.select("pid", (F.col("pos") + 1).alias("nth"), F.col("n.nbr").alias("nbr"), F.col("n.dist").alias("dist"))
     name = points.select("pid", "id")
     return near.join(name, "pid").join(name.select(F.col("pid").alias("nbr"), F.col("id").alias("neighbour")), "nbr").select("id", "neighbour", F.col("dist").alias("distance"), "nth")
 

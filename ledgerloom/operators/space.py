@@ -2,12 +2,14 @@
 
 A tree of median splits, fitted on a bounded sample, gives every point a home block. The
 bounding boxes, exact over all rows, tell which other blocks a point must visit to meet all
-points within its reach.
+points within its reach. A task cuts its block again, into cells of a fixed size with boxes
+of their own: a point is shipped once a block and compared once a cell, so the work of a
+visit does not grow with the blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +18,10 @@ from pyspark.sql import functions as F
 
 from ..session import cut, ship
 
-#: Points of a block aimed at, most blocks of a tree, points of the sample that it is fitted on.
-BLOCK, MOST_BLOCKS, SAMPLE = 2048, 4096, 60_000
+#: Points of a block aimed at, most points of a cell within it, most blocks of a tree, points of the sample that it is fitted on.
+BLOCK, CELL, MOST_BLOCKS, SAMPLE = 8192, 512, 4096, 60_000
+#: Distances that a task holds at once.
+TILE = 2_000_000
 
 
 class Tree:
@@ -45,14 +49,110 @@ class Tree:
         return node - (1 << self.depth)
 
 
+class Cells:
+    """The rows of a block in cells of at most ``cell`` rows, by exact median splits, with their bounding boxes."""
+
+    def __init__(self, z: np.ndarray, cell: int | None = None):
+        most = cell or CELL
+        todo, self.rows = [np.arange(len(z))], []
+        while todo:
+            rows = todo.pop()
+            if len(rows) > most:
+                part = z[rows]
+                d = int(np.argmax(part.max(0) - part.min(0)))
+                order = np.argpartition(part[:, d], len(rows) // 2)
+                todo += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
+            elif len(rows):
+                self.rows.append(np.sort(rows))
+        self.low = np.array([z[r].min(0) for r in self.rows]).reshape(len(self.rows), -1)
+        self.high = np.array([z[r].max(0) for r in self.rows]).reshape(len(self.rows), -1)
+
+    def apart(self, q: np.ndarray) -> np.ndarray:
+        """Squared distance of each query from the box of each cell."""
+        return box_distances(q, self.low, self.high)
+
+
+def box_distances(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances of points from boxes; a little small at most, so that a box that a reach touches is met."""
+    d2 = np.zeros((len(q), len(low)))
+    for d in range(q.shape[1]):
+        x = q[:, d : d + 1]
+        d2 += np.maximum(np.maximum(low[:, d] - x, x - high[:, d]), 0) ** 2
+    return d2 * (1 - 1e-9)
+
+
+class Products:
+    """Distances from the rows of a cell by one matrix product; those that rounding could decide are summed again by coordinate."""
+
+    def __init__(self, base: np.ndarray):
+        self.base, self.squares = base, (base * base).sum(1)
+
+    def near(self, queries: np.ndarray, reach: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query row, base row, distance) of pairs within each query's reach, among them its k nearest of those."""
+        n = len(self.base)
+        rows = max(1, TILE // n)
+        for at in range(0, len(queries), rows):
+            q, most = queries[at : at + rows], reach[at : at + rows] ** 2
+            own = (q * q).sum(1)[:, None]
+            d2 = own + self.squares[None, :] - 2 * (q @ self.base.T)
+            off = 1e-12 * (own + self.squares[None, :]) + 1e-300
+            if n > k:
+                most = np.minimum(most, np.partition(d2 + off, k - 1, axis=1)[:, k - 1])
+            i, j = np.nonzero(d2 - off <= most[:, None] * (1 + 1e-9))
+            for s in range(0, len(i), TILE):
+                a, b = i[s : s + TILE], j[s : s + TILE]
+                yield at + a, b, np.sqrt(((q[a] - self.base[b]) ** 2).sum(1))
+
+
+def nearest(cells: Cells, screens: list, base_pid: np.ndarray, q: np.ndarray, pid: np.ndarray, reach: np.ndarray, k: int, slack: float = 1e-12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, neighbour, distance): of each query the k nearest of a block's rows within its reach, itself left out, by (distance, number).
+
+    ``screens`` has for each cell an object with ``near(queries, reach, k)`` as that of :class:`Products`. A query
+    first meets the cell it is nearest to; what it finds there shortens its reach for the others. ``slack`` is what
+    rounding may take off a distance.
+    """
+    apart, reach = cells.apart(q), reach.copy()
+    first = apart.argmin(1)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def meet(c: int, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for i, j, d in screens[c].near(q[rows], reach[rows], k + 1):  # one more, as a query may be a row itself
+            i, p = rows[i], base_pid[cells.rows[c][j]]
+            other = pid[i] != p
+            yield _least(i[other], p[other], d[other], k)
+
+    for c in range(len(cells.rows)):
+        for i, p, d in meet(c, np.nonzero(first == c)[0]):
+            found.append((i, p, d))
+            full = np.nonzero(np.bincount(i, minlength=len(q)) == k)[0]
+            last = np.r_[np.nonzero(np.diff(i))[0], len(i) - 1] if len(i) else np.empty(0, np.int64)
+            worst = np.full(len(q), np.inf)
+            worst[i[last]] = d[last]
+            reach[full] = np.minimum(reach[full], worst[full] + slack)
+    limit = (reach * (1 + 1e-9) + slack) ** 2
+    for c in range(len(cells.rows)):
+        found.extend(meet(c, np.nonzero((apart[:, c] <= limit) & (first != c))[0]))
+    i, p, d = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (list(zip(*found)) or [[], [], []]))
+    return _least(i, p, d.astype(float), k)
+
+
+def _least(i: np.ndarray, p: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k first of each i, by (d, p)."""
+    order = np.lexsort((p, d, i))
+    i, p, d = i[order], p[order], d[order]
+    first = np.r_[0, np.nonzero(np.diff(i))[0] + 1] if len(i) else np.empty(0, np.int64)
+    keep = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) < k
+    return i[keep], p[keep], d[keep]
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     """A list column of equally long vectors as a matrix."""
     n = len(column)
     return np.asarray(column.flatten()).reshape(n, -1) if n else np.empty((0, 0))
 
 
-def into_blocks(points: DataFrame, block: int = BLOCK) -> DataFrame:
-    """block, pid, z of ``points`` (pid, z): spread by home block, sorted by block and pid, and kept."""
+def into_blocks(points: DataFrame, block: int = BLOCK, *, extra: Sequence[str] = ()) -> DataFrame:
+    """block, pid, z and the columns ``extra`` of ``points``: spread by home block, sorted by block and pid, and kept."""
     ship(points.sparkSession)
     rows = points.count()
     share = min(1.0, SAMPLE / max(1, rows))
@@ -63,9 +163,10 @@ def into_blocks(points: DataFrame, block: int = BLOCK) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             leaf = tree.leaf(matrix(b.column(1))) if b.num_rows else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), b.column(0), b.column(1)], ["block", "pid", "z"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), *b.columns], ["block", "pid", "z", *extra])
 
-    return cut(points.select("pid", "z").mapInArrow(run, "block int, pid bigint, z array<double>").repartition("block").sortWithinPartitions("block", "pid"))
+    kinds = "".join(f", {c} {points.schema[c].dataType.simpleString()}" for c in extra)
+    return cut(points.select("pid", "z", *extra).mapInArrow(run, f"block int, pid bigint, z array<double>{kinds}").repartition("block").sortWithinPartitions("block", "pid"))
 
 
 def boxes(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,15 +195,10 @@ def with_visitors(blocks: DataFrame, reach: float | str, extra: list[str] | None
                 continue
             home, z = np.asarray(b.column(0)), matrix(b.column(2))
             limit = (np.asarray(b.column(3 + carried.index(own))) if own else np.full(len(z), float(reach))) + 1e-6
-            step = max(1, 2_000_000 // max(1, len(numbers)))
+            step = max(1, TILE // max(1, len(numbers)))
             rows, where = [np.arange(len(z))], [home]
             for at in range(0, len(z), step):
-                part = z[at : at + step]
-                d2 = np.zeros((len(part), len(numbers)))
-                for d in range(z.shape[1]):
-                    x = part[:, d : d + 1]
-                    d2 += np.maximum(np.maximum(low[:, d] - x, x - high[:, d]), 0) ** 2
-                r, k = np.nonzero(d2 <= (limit[at : at + step] ** 2)[:, None])
+                r, k = np.nonzero(box_distances(z[at : at + step], low, high) <= (limit[at : at + step] ** 2)[:, None])
                 other = numbers[k] != home[at + r]
                 rows.append(at + r[other])
                 where.append(numbers[k[other]])

@@ -57,6 +57,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the files of a :func:`cut` or :func:`stored` frame that nothing reads any more, such as a matrix that the next one replaces."""
+    spark, files = df.sparkSession, []
+    rdd = df._jdf.queryExecution().toRdd()
+    while not (file := rdd.getCheckpointFile()).isDefined():
+        if rdd.dependencies().size() != 1:
+            files = [f for f in df.inputFiles() if "/scratch-" in f]
+            break
+        rdd = rdd.dependencies().head().rdd()
+    else:
+        files = [file.get()]
+    for f in files:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of a data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -78,6 +94,16 @@ def scratch(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared checkpoint folder and read again.
+
+    For loops: a checkpoint keeps the optimizer's estimate of its size, and estimates of joins multiply round by round.
+    """
+    at = scratch(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def local_path(path: str) -> str:
     """A file URI as a plain path."""
     return re.sub("^file:/*", "/", path)
