@@ -1,90 +1,32 @@
 """Most similar vectors for every vector: a block matrix join.
 
-Within a block, products of int8 codes give all distances with a quantisation error bound;
-pairs that the bound can't exclude from a vector's k nearest are computed again in float.
-A vector visits every block within the radius, or without one those nearer than the k-th
-distance of its home block; its lists merge to the k nearest overall.
+Within a cell of a block, products of int8 codes give all distances with a quantisation error
+bound; pairs that the bound can't exclude from a vector's k nearest are computed again in
+float. The home block gives a vector an upper bound of its k-th distance, with which it
+visits only blocks and cells that are nearer; its lists merge to the k nearest overall.
 The result is exact: the loss of accuracy is 0.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import partial
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.knn import nearest
-from ..operators.space import by_block, into_blocks, matrix, with_visitors
+from ..operators.knn import ENDLESS, nearest_lists
 from ..session import cut, ship
-from .vectors import DECIMALS, Tiles, classes
+from .vectors import Tiles, classes
 
-
-def _nearest(tiles: Tiles, base_pid: np.ndarray, pid: np.ndarray, z: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k nearest of a block's vectors for each query, in (distance, pid) order, itself left out."""
-    q, nbr, dist = [], [], []
-    for i, j, d in tiles.near(z, k + 1):
-        other = pid[i] != base_pid[j]
-        i, j, d = i[other], j[other], d[other]
-        p = base_pid[j]
-        order = np.lexsort((p, d, i))
-        i, p, d = i[order], p[order], d[order]
-        first = np.r_[0, np.nonzero(np.diff(i))[0] + 1] if len(i) else np.empty(0, np.int64)
-        nth = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
-        keep = nth < k
-        q.append(pid[i[keep]])
-        nbr.append(p[keep])
-        dist.append(d[keep])
-    cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-    return pa.RecordBatch.from_arrays([pa.array(cat(q, np.int64)), pa.array(cat(nbr, np.int64)), pa.array(cat(dist, np.float64))], ["pid", "nbr", "dist"])
+#: What rounding to 6 decimals may take off a distance.
+ROUNDING = 1e-6
 
 
 def nearest_points(points: DataFrame, k: int, radius: float | None = None) -> DataFrame:
-    """pid, nbr, dist: the k nearest other points of each point (within ``radius``, if there is one); of equal distances the smaller pid is nearer.
-
-    Without a radius the home block gives each point an upper bound of its k-th distance, and the point then visits
-    only blocks that are nearer than that.
-    """
+    """pid, near ARRAY<STRUCT<dist, nbr>>: the k nearest other points of each point (within ``radius``, if there is one); of equal distances the smaller pid is nearer."""
     ship(points.sparkSession)
-    blocks = into_blocks(points)
-    schema = "pid bigint, nbr bigint, dist double"
-    best = Window.partitionBy("pid").orderBy("dist", "nbr")
-
-    def start(rows: pa.RecordBatch) -> tuple:
-        pid, z = np.asarray(rows.column(2)), matrix(rows.column(3))
-        tiles = Tiles(z, radius)
-        return (tiles, pid), [_nearest(tiles, pid, pid, z, k)]
-
-    def visit(state: tuple, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        tiles, base = state
-        yield _nearest(tiles, base, np.asarray(rows.column(2)), matrix(rows.column(3)), k)
-
-    def rounded(z: np.ndarray, pid: np.ndarray, rows: pa.RecordBatch) -> pa.RecordBatch:
-        q, p, d = nearest(z, pid, matrix(rows.column(3)), np.asarray(rows.column(2)), k, DECIMALS)
-        return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(p, pa.int64()), pa.array(np.round(d, DECIMALS), pa.float64())], ["pid", "nbr", "dist"])
-
-    def at_home(rows: pa.RecordBatch) -> tuple:
-        return None, [rounded(matrix(rows.column(3)), np.asarray(rows.column(2)), rows)]
-
-    def hold(rows: pa.RecordBatch) -> tuple:
-        return (matrix(rows.column(3)), np.asarray(rows.column(2))), []
-
-    def visit_any(state: tuple, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        yield rounded(*state, rows)
-
-    if radius is not None:
-        found = with_visitors(blocks, radius).mapInArrow(lambda batches: by_block(batches, start, visit), schema)
-    else:
-        own = blocks.select("block", F.lit(0).alias("role"), "pid", "z")  # already spread and sorted by block
-        home = own.mapInArrow(lambda batches: by_block(batches, at_home, visit_any), schema)
-        home = cut(home.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).drop("nth"))
-        reach = home.groupBy("pid").agg(F.when(F.count("*") >= k, F.max("dist")).otherwise(F.lit(1e150)).alias("reach"))
-        reaching = blocks.join(reach, "pid", "left").select("block", "pid", "z", F.coalesce("reach", F.lit(1e150)).alias("reach"))
-        away = with_visitors(reaching, "reach").mapInArrow(lambda batches: by_block(batches, hold, visit_any), schema)
-        found = home.unionByName(away)
-    return found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).select("pid", "nbr", "dist")
+    screen = Tiles if radius is None else partial(Tiles, margin=float(radius))
+    return nearest_lists(points, k, screen, ENDLESS if radius is None else float(radius), ROUNDING)
 
 
 def nearest_vectors(vecs: DataFrame, k: int = 5, radius: float | None = None) -> DataFrame:
@@ -96,7 +38,7 @@ def nearest_vectors(vecs: DataFrame, k: int = 5, radius: float | None = None) ->
     """
     points, members = classes(vecs)
     members = cut(members)
-    near = nearest_points(points, k, radius)
+    near = nearest_points(points, k, radius).select("pid", F.explode("near").alias("n")).select("pid", "n.nbr", "n.dist")
     # k + 1 members of a point are enough for anyone's k nearest, also for its own members'
     few = members.withColumn("nth", F.row_number().over(Window.partitionBy("pid").orderBy("id"))).where(F.col("nth") <= k + 1).select("pid", F.col("id").alias("other"))
     own = few.select("pid", F.lit(0.0).alias("dist"), "other")

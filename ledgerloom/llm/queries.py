@@ -61,6 +61,19 @@ def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
     return describe_clusters(_clustered(spark, d, flow=True)).select(F.col("first_id").alias("first_order_id"), "size", "typical")
 
 
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The groups of p2_found, each with its size and the members that attract the most flow."""
+    told = describe_clusters(_clustered(spark, d, flow=True), "group_no", strength=("flow",))
+    return told.where("size >= 3").select(F.col("first_id").alias("first_order_id"), "size", F.array_join("typical", "|").alias("typical"))
+
+
+def p2_groups_compared(spark: SparkSession, d: str) -> DataFrame:
+    c = _clustered(spark, d)
+    first = c.groupBy("group_no").agg(F.min("id").alias("first_order_id"))
+    told = compare_clusters(c.join(first, "group_no"), table(spark, d, "segment_result"), "order_id", "cluster_id", "first_order_id")
+    return told.withColumnRenamed("cluster", "first_order_id")
+
+
 def p2_compared(spark: SparkSession, d: str) -> DataFrame:
     return compare_clusters(_clustered(spark, d), table(spark, d, "segment_result"), "order_id", "cluster_id")
 
@@ -159,7 +172,7 @@ def p10_cutoffs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_pairs, p1_between, p2_found, p2_clusters, p2_compared, p3_found, p3_terms, p4_found, p4_counts, p4_sketch, p6_found, p6_neighbours, p6_nearest, p7_found, p7_lifts, p8_ids, p9_mix, p9_shares, p10_found, p10_repetition, p10_cutoffs)}
+    return {f.__name__: f for f in (p1_found, p1_pairs, p1_between, p2_found, p2_clusters, p2_groups, p2_compared, p2_groups_compared, p3_found, p3_terms, p4_found, p4_counts, p4_sketch, p6_found, p6_neighbours, p6_nearest, p7_found, p7_lifts, p8_ids, p9_mix, p9_shares, p10_found, p10_repetition, p10_cutoffs)}
 
 
 #: Items of lines, and baskets, by the definitions of the test data.

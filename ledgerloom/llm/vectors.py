@@ -44,38 +44,37 @@ def classes(vecs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 class Tiles:
-    """Int8 codes of the vectors of a block, for product tiles with an error bound."""
+    """Int8 codes of the vectors of a cell, for product tiles with an error bound."""
 
-    def __init__(self, base: np.ndarray, radius: float):
-        self.base, self.radius = base, radius
+    def __init__(self, base: np.ndarray, margin: float | None = None):
+        """``margin``: how far from the cell's box a query may lie to have codes of its own; those beyond it are all compared in float."""
+        self.base = base
         low, high = base.min(0), base.max(0)
-        self.middle = (low + high) / 2
-        # every query within the radius of the box has codes of a byte
-        self.step = max(float((high - low).max()) / 2 + radius + 1e-6, 1e-12) / 127
-        self.codes = self.code(base)
+        self.middle, half = (low + high) / 2, float((high - low).max()) / 2
+        self.step = max(half + (half if margin is None else margin) + 1e-6, 1e-12) / 127
+        self.codes = np.rint((base - self.middle) / self.step).astype(np.int8).astype(np.float32)  # products of bytes are exact in single precision
         self.squares = (self.codes * self.codes).sum(1)
         # each coordinate of both vectors is off by half a step at most
         self.error = np.sqrt(base.shape[1]) * self.step * 1.0001
 
-    def code(self, z: np.ndarray) -> np.ndarray:
-        codes = np.clip(np.rint((z - self.middle) / self.step), -127, 127).astype(np.int8)
-        return codes.astype(np.float32)  # products of bytes are exact in single precision
-
-    def near(self, queries: np.ndarray, k: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query row, base row, distance) of all pairs within the radius; with ``k`` a superset of each query's k nearest of those."""
+    def near(self, queries: np.ndarray, reach: np.ndarray | float, k: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query row, base row, distance) of all pairs within each query's reach; with ``k`` at least the k nearest of those."""
         n = len(self.base)
         rows = max(1, TILE // n)
+        reach = np.broadcast_to(reach, len(queries))
         for at in range(0, len(queries), rows):
-            q = queries[at : at + rows]
-            c = self.code(q)
+            q, most = queries[at : at + rows], reach[at : at + rows]
+            c = np.rint((q - self.middle) / self.step)
+            beyond = (np.abs(c) > 127).any(1)
+            c = np.where(beyond[:, None], 0, c).astype(np.int8).astype(np.float32)
             d2 = (c * c).sum(1)[:, None] + self.squares[None, :] - 2 * (c @ self.codes.T)
-            reach = np.full(len(q), self.radius + 1e-6)
+            limit = most + 1e-6
             if k is not None and n > k:
                 kth = np.sqrt(np.partition(d2, k - 1, axis=1)[:, k - 1].astype(np.float64)) * self.step
-                reach = np.minimum(reach, kth + self.error + 1e-6)  # also those that tie after rounding
-            i, j = np.nonzero(d2 <= (((reach + self.error) / self.step) ** 2 + 1e-3)[:, None])
+                limit = np.where(beyond, limit, np.minimum(limit, kth + self.error + 1e-6))  # also those that tie after rounding
+            i, j = np.nonzero((d2 <= (((limit + self.error) / self.step) ** 2 + 1e-3)[:, None]) | beyond[:, None])
             for s in range(0, len(i), TILE):  # survivors in float
                 a, b = i[s : s + TILE], j[s : s + TILE]
                 d = np.round(np.sqrt(((q[a] - self.base[b]) ** 2).sum(1)), DECIMALS)
-                fine = d <= self.radius
+                fine = d <= most[a]
                 yield at + a[fine], b[fine], d[fine]

@@ -23,9 +23,11 @@ def distances(x):
     return np.round(np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(2)), 6)
 
 
-@pytest.fixture(params=[2048, 24], ids=["one block", "many blocks"])
+@pytest.fixture(params=[(2048, 512), (24, 512), (100, 9)], ids=["one block", "many blocks", "many cells"])
 def blocks(request, monkeypatch):
-    monkeypatch.setattr(space.into_blocks, "__defaults__", (request.param,))
+    block, cell = request.param
+    monkeypatch.setattr(space.into_blocks, "__defaults__", (block,))
+    monkeypatch.setattr(space, "CELL", cell)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
@@ -97,6 +99,94 @@ def test_connected(spark):
     assert got == {v: find(v) for v in parent}
 
 
+def graph(kind):
+    if kind == "ring":
+        return [(i, (i + 1) % 24, 1.0) for i in range(24)]
+    if kind == "path":
+        return [(i, i + 1, 1.0) for i in range(40)]
+    if kind == "star":
+        return [(0, i, 1.0) for i in range(1, 30)]
+    if kind == "grid":
+        return [(6 * r + c, 6 * r + c + d, 1.0) for r in range(6) for c in range(6) for d in (1, 6) if (d == 6 and r < 5) or (d == 1 and c < 5)]
+    rng = np.random.default_rng(2)
+    pairs = {tuple(sorted(map(int, p))) for p in rng.integers(0, 90, (110, 2)) if p[0] != p[1]}
+    return [(a, b, float(w)) for (a, b), w in zip(sorted(pairs), rng.pareto(0.5, len(pairs)) + 0.01)]
+
+
+@pytest.mark.parametrize("kind", ["ring", "path", "star", "grid", "random"])
+def test_hierarchy_joins_what_is_connected(spark, kind):
+    edges = [(min(a, b), max(a, b), w) for a, b, w in graph(kind)] + [(500, 501, 1.0), (501, 502, 0.2)]
+    got = {r.node: r.root for r in clusters.cluster_groups(spark.createDataFrame(edges, "a bigint, b bigint, weight double")).collect()}
+    nodes = sorted({v for e in edges for v in e[:2]})
+    d = np.full((len(nodes), len(nodes)), 9.0)
+    for a, b, _ in edges:
+        d[nodes.index(a), nodes.index(b)] = d[nodes.index(b), nodes.index(a)] = 0.0
+    np.fill_diagonal(d, 0.0)
+    label = dict(zip(nodes, components(d, 1.0)))
+    assert set(got) == set(nodes) and {(a, b): got[a] == got[b] for a in nodes for b in nodes} == {(a, b): label[a] == label[b] for a in nodes for b in nodes}
+
+
+def test_groups_come_from_the_clusters(spark, monkeypatch):
+    """Without the flow there are no groups: a clustering that joins nothing is an error, not another way to the same rows."""
+    monkeypatch.setattr(clusters, "markov_clusters", lambda edges, *a, **k: edges.selectExpr("a node").union(edges.selectExpr("b")).distinct().selectExpr("node", "node cluster", "0d drawn"))
+    with pytest.raises(RuntimeError, match="joins no nodes"):
+        clusters.similarity_clusters(frame(spark, np.array([[0.9 * i, 0.0] for i in range(8)])), 1.0)
+
+
+def test_an_unsteady_flow_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "PATIENCE", 2)
+    with pytest.raises(RuntimeError, match="not steady"):
+        clusters.steady_matrix(spark.createDataFrame(graph("random"), "a bigint, b bigint, weight double"))
+
+
+def dense_flow(nodes, edges):
+    """The steady matrix by dense products."""
+    at = {v: i for i, v in enumerate(nodes)}
+    m = np.zeros((len(nodes), len(nodes)))
+    for a, b, w in edges:
+        m[at[a], at[b]] = m[at[b], at[a]] = w
+    np.fill_diagonal(m, m.max(0))
+    m /= m.sum(0)
+    for _ in range(60):
+        m = (m @ m) ** 2
+        m[(m < 1e-3 * m.sum(0)) & (m < m.max(0))] = 0
+        m /= m.sum(0)
+    return m
+
+
+def test_clusters_are_those_of_the_dense_flow(spark):
+    edges = graph("random")
+    nodes = sorted({v for e in edges for v in e[:2]})
+    m = dense_flow(nodes, edges)
+    want = {}
+    for j, v in enumerate(nodes):
+        want[v] = tuple(np.nonzero(m[:, j] >= m[:, j].max() / 2)[0])
+    rows = clusters.markov_clusters(spark.createDataFrame(edges, "a bigint, b bigint, weight double")).collect()
+    got = {r.node: r.cluster for r in rows}
+    same = {(a, b): bool(set(want[a]) & set(want[b])) for a in nodes for b in nodes}
+    assert {(a, b): got[a] == got[b] for a in nodes for b in nodes} == same
+    drawn = {r.node: r.drawn for r in rows}
+    assert np.allclose([drawn[v] for v in nodes], m.sum(1), atol=1e-2) and sum(drawn.values()) == pytest.approx(len(nodes))
+
+
+def test_sizes_and_typical_members_of_planted_clusters(spark, blocks):
+    """Far apart blobs are the clusters; their typical members are those of the attractors with the most flow of their own."""
+    rng = np.random.default_rng(8)
+    sizes = [3, 17, 60, 41]
+    x = np.concatenate([[30.0 * i, 0, 0] + rng.normal(size=(n, 3)) * 0.14 for i, n in enumerate(sizes)]).round(4)
+    label = np.repeat(range(len(sizes)), sizes)
+    found = clusters.similarity_clusters(frame(spark, x), 1.0)
+    told = {tuple(sorted(r.typical)): (r.size, r.first_id) for r in clusters.describe_clusters(found).collect()}
+    w = np.where(distances(x) <= 1.0, np.exp(-(distances(x) ** 2)), 0.0)
+    flow = (w / w.sum(0)).sum(1).round(9)
+    drawn = {int(r.id[1:]): r.drawn for r in found.collect()}
+    for k, n in enumerate(sizes):
+        of = np.nonzero(label == k)[0]
+        best = sorted(of, key=lambda i: (-drawn[i], -flow[i], i))[:3]
+        assert told[tuple(sorted(f"o{i:04d}" for i in best))] == (n, f"o{of[0]:04d}")
+        assert max(drawn[i] for i in of) in (0.0, pytest.approx(max(drawn[i] for i in best)))
+
+
 def test_describe_and_compare(spark):
     rows = [("a", 1, 0.9, 1), ("b", 1, 0.5, 1), ("c", 1, 0.9, 1), ("d", 2, 0.0, 2)]
     c = spark.createDataFrame(rows, "id string, cluster bigint, flow double, group_no bigint")
@@ -127,9 +217,11 @@ def test_tiles_lose_nothing():
         base = rng.normal(size=(400, 10)) * spread
         q = base[:50] + rng.normal(size=(50, 10)) * spread * 0.1
         d = np.round(np.sqrt(((q[:, None] - base[None]) ** 2).sum(2)), 6)
-        got = {(int(a), int(b)) for i, j, _ in vectors.Tiles(base, 1.0).near(q) for a, b in zip(i, j)}
+        got = {(int(a), int(b)) for i, j, _ in vectors.Tiles(base, 1.0).near(q, 1.0) for a, b in zip(i, j)}
         assert got == set(zip(*map(np.ndarray.tolist, np.nonzero(d <= 1.0))))
-        some = {(int(a), int(b)) for i, j, _ in vectors.Tiles(base, 1.0).near(q, 5) for a, b in zip(i, j)}
+        far = {(int(a), int(b)) for i, j, _ in vectors.Tiles(base, 0.0).near(q * 3, 1.0) for a, b in zip(i, j)}  # queries beyond the codes
+        assert far == set(zip(*map(np.ndarray.tolist, np.nonzero(np.round(np.sqrt(((q[:, None] * 3 - base[None]) ** 2).sum(2)), 6) <= 1.0))))
+        some = {(int(a), int(b)) for i, j, _ in vectors.Tiles(base, 1.0).near(q, 1.0, 5) for a, b in zip(i, j)}
         for a in range(50):
             assert {(a, b) for _, b in sorted((d[a, b], b) for b in range(400))[:5] if d[a, b] <= 1.0} <= some
 
