@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,33 +23,53 @@ from ..session import cut, ship
 
 #: Buckets, entries of a bucket, light counters, votes against one that evict. Memory is fixed by these alone.
 BUCKETS, ENTRIES, COUNTERS, VOTES = 2048, 4, 1 << 16, 8
-#: Rows that a task counts before they vote.
-ROWS = 200_000
+#: Rows that a task counts before they vote; most sketches that are merged, a core.
+ROWS, SKETCHES = 200_000, 4
 
 
 class Sketch:
-    """The heavy-light sketch of one partition."""
+    """The heavy-light sketch of one partition: buckets as arrays of entries (hash, item, count), votes against each, light counters."""
 
     def __init__(self, buckets: int, entries: int, counters: int):
-        self.heavy: list[dict[tuple[str, int], int]] = [{} for _ in range(buckets)]
-        self.against = [0] * buckets
-        self.light = np.zeros(counters, np.int64)
-        self.entries = entries
-
-    def add(self, item: str, h: int, count: int) -> None:
-        """``count`` occurrences of an item with hash ``h``."""
-        b = h % len(self.heavy)
-        held, key = self.heavy[b], (item, h)
-        if key in held or len(held) < self.entries:
-            held[key] = held.get(key, 0) + count
+        self.hash = np.full((buckets, entries), -1, np.int64)
+        self.item = np.full((buckets, entries), None, object)
+        self.count = np.zeros((buckets, entries), np.int64)
+        self.against, self.light = np.zeros(buckets, np.int64), np.zeros(counters, np.int64)
+
+    def add(self, items: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> None:
+        """Occurrences of distinct items (with hashes of 63 bits), all buckets at once."""
+        bucket = hashes % len(self.hash)
+        same = (self.hash[bucket] == hashes[:, None]) & (self.item[bucket] == items[:, None])
+        row, entry = np.nonzero(same)
+        self.count[bucket[row], entry] += counts[row]
+        # those that no entry holds, by bucket, the largest first
+        rest = np.nonzero(~same.any(1))[0]
+        rest = rest[np.lexsort((hashes[rest], -counts[rest], bucket[rest]))]
+        if not len(rest):
             return
-        weakest = min(held, key=held.get)
-        self.against[b] += count
-        if self.against[b] >= VOTES * held[weakest]:
-            self.light[(weakest[1] >> 20) % len(self.light)] += held.pop(weakest)
-            held[key], self.against[b] = count, 0
-        else:
-            self.light[(h >> 20) % len(self.light)] += count
+        b = bucket[rest]
+        first = np.r_[0, np.nonzero(np.diff(b))[0] + 1]
+        nth = np.arange(len(b)) - np.repeat(first, np.diff(np.r_[first, len(b)]))
+        free = (self.hash < 0).sum(1)  # free entries are the last of their bucket
+        taken = nth < free[b]
+        self._put(b[taken], self.hash.shape[1] - free[b[taken]] + nth[taken], rest[taken], items, hashes, counts)
+        b, rest, nth = b[~taken], rest[~taken], (nth - free[b])[~taken]
+        # the others vote against their bucket; the largest takes the place of the weakest entry that is outvoted
+        np.add.at(self.against, b, counts[rest])
+        best = nth == 0
+        weakest = self.count[b].argmin(1)
+        out = best & (self.against[b] >= VOTES * self.count[b, weakest])
+        e, w = b[out], weakest[out]
+        np.add.at(self.light, self._slot(self.hash[e, w]), self.count[e, w])
+        self._put(e, w, rest[out], items, hashes, counts)
+        self.against[e] = 0
+        np.add.at(self.light, self._slot(hashes[rest[~out]]), counts[rest[~out]])
+
+    def _put(self, bucket: np.ndarray, entry: np.ndarray, rows: np.ndarray, items: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> None:
+        self.hash[bucket, entry], self.item[bucket, entry], self.count[bucket, entry] = hashes[rows], items[rows], counts[rows]
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> 20) % len(self.light)
 
 
 _PARTS = "kind int, slot int, item string, n bigint"
@@ -71,8 +90,7 @@ def heavy_light(rows: DataFrame, item_col: str, buckets: int = BUCKETS, entries:
 
         def vote() -> None:
             t = pa.Table.from_batches(held).group_by(["item", "h"]).aggregate([([], "count_all")])
-            for item, h, c in zip(t["item"].to_pylist(), t["h"].to_pylist(), t["count_all"].to_pylist()):
-                sketch.add(item, h, c)
+            sketch.add(t["item"].to_numpy(), t["h"].to_numpy(), t["count_all"].to_numpy())
 
         for batch in batches:
             if batch.num_rows:
@@ -83,13 +101,14 @@ def heavy_light(rows: DataFrame, item_col: str, buckets: int = BUCKETS, entries:
                 held, n = [], 0
         if held:
             vote()
-        found = [(b, item, c) for b, bucket in enumerate(sketch.heavy) for (item, _), c in bucket.items()]
+        bucket, entry = np.nonzero(sketch.hash >= 0)
         slots = np.nonzero(sketch.light)[0]
-        kind = pa.array(np.r_[np.zeros(len(found), np.int32), np.ones(len(slots), np.int32)])
-        slot = pa.array(np.r_[np.array([f[0] for f in found], np.int32), slots.astype(np.int32)])
-        item = pa.array([f[1] for f in found] + [None] * len(slots), pa.string())
-        yield pa.RecordBatch.from_arrays([kind, slot, item, pa.array(np.r_[np.array([f[2] for f in found], np.int64), sketch.light[slots]])], ["kind", "slot", "item", "n"])
+        kind = pa.array(np.r_[np.zeros(len(bucket), np.int32), np.ones(len(slots), np.int32)])
+        item = pa.array([*sketch.item[bucket, entry], *[None] * len(slots)], pa.string())
+        yield pa.RecordBatch.from_arrays([kind, pa.array(np.r_[bucket, slots].astype(np.int32)), item, pa.array(np.r_[sketch.count[bucket, entry], sketch.light[slots]])], ["kind", "slot", "item", "n"])
 
+    # some sketches a core, however many splits the rows have
+    hashed = hashed.coalesce(SKETCHES * rows.sparkSession.sparkContext.defaultParallelism)
     parts = cut(hashed.mapInArrow(run, _PARTS).groupBy("kind", "slot", "item").agg(F.sum("n").alias("n")))
     best = Window.partitionBy("slot").orderBy(F.desc("n"), "item")
     ranked = parts.where("kind = 0").withColumn("nth", F.row_number().over(best))

@@ -16,12 +16,14 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, small
 
 #: Sets up to this size enumerate subsets, if their subsets leave out at most LEFT_OUT values.
 SMALL, LEFT_OUT = 14, 2
-#: A value in more distinct sets than this has its inverted list split into SLICES parts.
-HOT, SLICES = 20_000, 32
+#: Rows of a key that one task takes: the inverted list of a value, a subset or the records of a class with more are split into parts.
+HOT = 20_000
+#: Members of a class that one tile of pairs takes on a side; share of the sets on which hot subsets are looked for.
+MEMBERS, SAMPLED = 1024, 1 / 64
 
 
 def overlap_needed(s: int, t: int, threshold: Fraction) -> int:
@@ -59,7 +61,7 @@ def _by_subsets(sets: DataFrame, pairs: list[tuple[int, int, int]]) -> DataFrame
     def in_roles(subsets: Column, roles: Column) -> Column:
         return F.flatten(F.transform(subsets, lambda h: F.transform(roles, lambda q: F.struct(q.alias("role"), h.alias("subset")))))
 
-    def keyed(side: int) -> DataFrame:
+    def keyed(sets: DataFrame, side: int) -> DataFrame:
         """Subset keys of each set in its role: 0 the smaller, 1 the larger set of a pair of sizes."""
         by_size: dict[int, dict[int, list[int]]] = {}
         for s, t, o in pairs:
@@ -71,16 +73,22 @@ def _by_subsets(sets: DataFrame, pairs: list[tuple[int, int, int]]) -> DataFrame
             roles = F.when(size == own, parts[0] if len(parts) == 1 else F.concat(*parts)).otherwise(roles)
         return sets.select("set_id", F.explode(roles).alias("k")).select("set_id", "k.role", "k.subset")
 
-    a, b = keyed(0).withColumnRenamed("set_id", "a"), keyed(1).withColumnRenamed("set_id", "b")
+    # subsets of very many sets show in a sample; their sets are spread over several tasks, which changes no result
+    some = sets.where(F.shiftrightunsigned(F.xxhash64("set_id", F.lit("hot")), 12) / F.lit(float(1 << 52)) < SAMPLED)
+    seen = keyed(some, 0).unionByName(keyed(some, 1)).groupBy("role", "subset").agg(F.count("*").alias("seen")).where(F.col("seen") > HOT * SAMPLED)
+    hot = small(cut(seen.select("role", "subset", F.ceil(F.col("seen") / (HOT * SAMPLED)).cast("int").alias("parts"))))
+    parts = F.coalesce("parts", F.lit(1))
+    a = keyed(sets, 0).withColumnRenamed("set_id", "a").join(hot, ["role", "subset"], "left").withColumn("part", F.pmod(F.xxhash64("a"), parts).cast("int"))
+    b = keyed(sets, 1).withColumnRenamed("set_id", "b").join(hot, ["role", "subset"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     same = (F.col("role") % 1000 == F.floor(F.col("role") / 1000)) & (F.col("a") >= F.col("b"))
-    return a.join(b, ["role", "subset"]).where(~same).select(F.least("a", "b").alias("set_a"), F.greatest("a", "b").alias("set_b"))
+    return a.drop("parts").join(b.drop("parts"), ["role", "subset", "part"]).where(~same).select(F.least("a", "b").alias("set_a"), F.greatest("a", "b").alias("set_b"))
 
 
 def _by_lists(sets: DataFrame, threshold: Fraction, covered: list[tuple[int, int, int]]) -> DataFrame:
     """Pairs that subsets don't cover, from inverted lists over the rarest values of each set.
 
     With the values of a set in order of rarity, a pair shares one of the first
-    n - ceil(threshold * n) + 1 of each. A list longer than HOT is read in slices by several tasks.
+    n - ceil(threshold * n) + 1 of each. A list longer than HOT is read in slices of that length by several tasks.
     """
     most = max((t for _, t, _ in covered), default=0)
     done = {(s, t) for s, t, _ in covered}
@@ -94,7 +102,7 @@ def _by_lists(sets: DataFrame, threshold: Fraction, covered: list[tuple[int, int
     first = F.col("n") - F.ceil(F.col("n") * F.lit(float(threshold)) - 1e-9).cast("int") + 1
     listed = ranked.select("set_id", "n", F.posexplode(F.slice("ranked", 1, first)).alias("pos", "r")).select("set_id", "n", "pos", F.col("r.item").alias("item"), F.col("r.df").alias("df"))
     # the larger set scans, the smaller one is listed; long lists are cut into slices that each scanner visits
-    slices = F.when(F.col("df") > HOT, F.lit(SLICES)).otherwise(F.lit(1))
+    slices = F.ceil(F.col("df") / HOT).cast("int")
     scan = listed.withColumn("slice", F.explode(F.sequence(F.lit(0), slices - 1))).select("item", "slice", F.col("set_id").alias("b"), F.col("n").alias("t"), F.col("pos").alias("pb"))
     lists = listed.withColumn("slice", F.pmod(F.xxhash64("set_id"), slices).cast("int")).select("item", "slice", F.col("set_id").alias("a"), F.col("n").alias("s"), F.col("pos").alias("pa"))
     th = F.lit(float(threshold))
@@ -108,7 +116,7 @@ def _by_lists(sets: DataFrame, threshold: Fraction, covered: list[tuple[int, int
     return found.select(F.least("a", "b").alias("set_a"), F.greatest("a", "b").alias("set_b"))
 
 
-def similar_sets(records: DataFrame, id_col: str, items_col: str, threshold: float = 0.8, least: int = 1, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+def similar_sets(records: DataFrame, id_col: str, items_col: str, threshold: float = 0.8, least: int = 1, small_sets: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """(classes: set_id, id, n; links: set_a, set_b, shared, similarity) of the distinct sets.
 
     ``items_col``: arrays of distinct strings; null sets, null values and sets of fewer than ``least``
@@ -125,10 +133,10 @@ def similar_sets(records: DataFrame, id_col: str, items_col: str, threshold: flo
     # the number of a distinct set; kept, so that all who read it see the same
     sets = cut(rows.select("items", "n").distinct().withColumn("set_id", F.monotonically_increasing_id()))
     classes = rows.join(sets.select("items", "set_id"), "items").select("set_id", "id", "n").distinct()
-    pairs = size_pairs(small, th)
+    pairs = size_pairs(small_sets, th)
     found = _by_lists(sets, th, pairs)
     if pairs:
-        found = found.unionByName(_by_subsets(sets.where(F.col("n") <= small), pairs))
+        found = found.unionByName(_by_subsets(sets.where(F.col("n") <= small_sets), pairs))
     found = found.distinct()
     a = sets.select(F.col("set_id").alias("set_a"), F.col("items").alias("items_a"))
     b = sets.select(F.col("set_id").alias("set_b"), F.col("items").alias("items_b"))
@@ -139,28 +147,48 @@ def similar_sets(records: DataFrame, id_col: str, items_col: str, threshold: flo
     return classes, links
 
 
-def similar_pairs(records: DataFrame, id_col: str, items_col: str, threshold: float = 0.8, least: int = 1, small: int = SMALL) -> DataFrame:
+def similar_pairs(records: DataFrame, id_col: str, items_col: str, threshold: float = 0.8, least: int = 1, small_sets: int = SMALL) -> DataFrame:
     """id_a, id_b, similarity: each pair of different records once, the smaller id first.
 
     Expands :func:`similar_sets`: pairs of linked classes, and pairs of copies, whose number is
     that of the result.
     """
-    classes, links = similar_sets(records, id_col, items_col, threshold, least, small)
-    m = classes.select("set_id", "id")
-    a = m.select(F.col("set_id").alias("set_a"), F.col("id").alias("one"))
-    b = m.select(F.col("set_id").alias("set_b"), F.col("id").alias("two"))
-    near = links.select("set_a", "set_b", "similarity").join(a, "set_a").join(b, "set_b").select("one", "two", "similarity")
-    copies = a.join(b, F.col("set_a") == F.col("set_b")).where("one < two").select("one", "two", F.lit(1.0).alias("similarity"))
-    return near.unionByName(copies).select(F.least("one", "two").alias("id_a"), F.greatest("one", "two").alias("id_b"), "similarity")
+    classes, links = similar_sets(records, id_col, items_col, threshold, least, small_sets)
+    ids = _chunks(classes.select("set_id", "id"))
+    pairs = _expanded(links.select("set_a", "set_b", "similarity"), ids, ids).unionByName(_copies(ids))
+    return pairs.select(F.least("one", "two").alias("id_a"), F.greatest("one", "two").alias("id_b"), "similarity")
 
 
-def similar_pairs_between(left: DataFrame, right: DataFrame, id_col: str, items_col: str, threshold: float = 0.8, least: int = 1, small: int = SMALL) -> DataFrame:
+def _chunks(members: DataFrame) -> DataFrame:
+    """set_id, chunk, ids: the members (set_id, id) of each class in chunks of about MEMBERS; kept, a row a chunk."""
+    large = members.groupBy("set_id").agg(F.count("*").alias("size")).where(F.col("size") > MEMBERS)
+    parts = F.coalesce(F.ceil(F.col("size") / MEMBERS), F.lit(1))
+    spread = members.join(small(cut(large)), "set_id", "left").withColumn("chunk", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    return cut(spread.groupBy("set_id", "chunk").agg(F.collect_list("id").alias("ids")))
+
+
+def _expanded(links: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """one, two, similarity: the members of the linked classes (set_a, set_b), each pair of chunks by a task of its own."""
+    a = left.select(F.col("set_id").alias("set_a"), F.col("chunk").alias("chunk_a"), F.col("ids").alias("ids_a"))
+    b = right.select(F.col("set_id").alias("set_b"), F.col("chunk").alias("chunk_b"), F.col("ids").alias("ids_b"))
+    tiles = links.join(a, "set_a").join(b, "set_b").repartition("set_a", "chunk_a", "set_b", "chunk_b")
+    return tiles.select(F.explode("ids_a").alias("one"), "ids_b", "similarity").select("one", F.explode("ids_b").alias("two"), "similarity")
+
+
+def _copies(ids: DataFrame) -> DataFrame:
+    """one, two, similarity: pairs within the classes."""
+    several = ids.where((F.size("ids") > 1) | (F.col("chunk") > 0))
+    links = several.select(F.col("set_id").alias("set_a")).distinct().select("set_a", F.col("set_a").alias("set_b"), F.lit(1.0).alias("similarity"))
+    return _expanded(links, ids, ids).where("one < two")
+
+
+def similar_pairs_between(left: DataFrame, right: DataFrame, id_col: str, items_col: str, threshold: float = 0.8, least: int = 1, small_sets: int = SMALL) -> DataFrame:
     """left_id, right_id, similarity: the similar pairs between two tables (same conventions)."""
     tag = lambda df, side: df.select(F.struct(F.lit(side).alias("side"), df[id_col].cast("string").alias("key")).alias("id"), df[items_col].alias("items"))
-    classes, links = similar_sets(tag(left, 0).unionByName(tag(right, 1)), "id", "items", threshold, least, small)
-    a = classes.where("id.side = 0").select(F.col("set_id").alias("set_a"), F.col("id.key").alias("left_id"))
-    b = classes.where("id.side = 1").select(F.col("set_id").alias("set_b"), F.col("id.key").alias("right_id"))
+    classes, links = similar_sets(tag(left, 0).unionByName(tag(right, 1)), "id", "items", threshold, least, small_sets)
+    a = _chunks(classes.where("id.side = 0").select("set_id", F.col("id.key").alias("id")))
+    b = _chunks(classes.where("id.side = 1").select("set_id", F.col("id.key").alias("id")))
     pairs = links.select("set_a", "set_b", "similarity")
     both = pairs.unionByName(pairs.select(F.col("set_b").alias("set_a"), F.col("set_a").alias("set_b"), "similarity"))
-    near = both.join(a, "set_a").join(b, "set_b").select("left_id", "right_id", "similarity")
-    return near.unionByName(a.join(b, F.col("set_a") == F.col("set_b")).select("left_id", "right_id", F.lit(1.0).alias("similarity")))
+    same = a.select(F.col("set_id").alias("set_a")).distinct().select("set_a", F.col("set_a").alias("set_b"), F.lit(1.0).alias("similarity"))
+    return _expanded(both.unionByName(same), a, b).select(F.col("one").alias("left_id"), F.col("two").alias("right_id"), "similarity")

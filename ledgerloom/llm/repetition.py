@@ -1,14 +1,17 @@
 """Repetition inside a single document, and cutoffs with a controlled risk.
 
 The measure: words in a run of eight consecutive words that has started before.
-The cutoffs: labelled holdouts give, for each stratum, the lowest cutoff that is
-proven (exact binomial bound, corrected for the number of strata) to reject at
-most a set share of the good documents.
+The labels: a document is good if hardly any of its text lies in sentences that stood
+before, a second measure that knows no words and no runs. The cutoffs: one labelled half of the
+documents gives, for each stratum, the lowest cutoff that is proven (exact binomial
+bound, corrected for the number of strata) to reject at most a set share of the good
+documents; the other half shows what it rejects there.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -25,10 +28,13 @@ from ..session import cut, ship, small, spread
 RUN = 8
 #: Entries of a worker's table of words.
 KEPT = 400_000
-#: Labelled documents drawn of each stratum, by hash of their id.
-HOLDOUT = 20_000
+#: A good document has less than this share of its text in repeated sentences; shorter sentences (in characters) don't count.
+TOLERATED, SENTENCE = 0.05, 20
+#: Cutoffs that are tried, on both sides of any target.
+GRID = [0.9, 0.8, 0.7, 0.6, 0.5, 0.45, 0.4, 0.35, 0.3, 0.28, 0.26, 0.24, 0.22, 0.2, 0.18, 0.16, 0.14, 0.12, 0.1, 0.08, 0.06, 0.05]
 
 _LETTERS = regex.compile(r"\p{L}+")
+_ENDS = re.compile(r"[.!?;:\r\n]+")
 
 
 class _Words(dict):
@@ -78,10 +84,25 @@ def repeated_words(words: np.ndarray, doc: np.ndarray, n_docs: int, run: int = R
     return np.bincount(doc[covered], minlength=n_docs)
 
 
-def measure_repetition(df: DataFrame, keep: list[str], text_col: str = "text", run: int = RUN) -> DataFrame:
+def repeated_sentences(text: str) -> float:
+    """Share of the characters of a text's sentences that lie in sentences which stood before (whitespace and case apart)."""
+    seen: set[str] = set()
+    total = again = 0
+    for part in _ENDS.split(text.casefold()):
+        sentence = " ".join(part.split())
+        if len(sentence) < SENTENCE:
+            continue
+        total += len(sentence)
+        if sentence in seen:
+            again += len(sentence)
+        seen.add(sentence)
+    return again / total if total else 0.0
+
+
+def measure_repetition(df: DataFrame, keep: list[str], text_col: str = "text", run: int = RUN, sentences: bool = False) -> DataFrame:
     """The columns ``keep``, n_words BIGINT, n_repeated BIGINT, share DOUBLE of every row, over whole texts.
 
-    A null, empty or wordless text has 0 words and share 0. Each row is measured on its own, so
+    With ``sentences`` also sentence_share DOUBLE, see :func:`repeated_sentences`. A null, empty or wordless text has 0 words and share 0. Each row is measured on its own, so
     repeated rows repeat. One narrow pass without shuffle; other columns aren't read.
     """
     ship(df.sparkSession)
@@ -107,10 +128,12 @@ def measure_repetition(df: DataFrame, keep: list[str], text_col: str = "text", r
                     if len(table) > KEPT or len(table.number) > KEPT:
                         table = _Words()
             share = np.divide(n_repeated, n_words, out=np.zeros(len(texts)), where=n_words > 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(n_words), pa.array(n_repeated), pa.array(share)], [*keep, "n_words", "n_repeated", "share"])
+            more = [pa.array([repeated_sentences(t) if t else 0.0 for t in texts], pa.float64())] if sentences else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(n_words), pa.array(n_repeated), pa.array(share), *more], [*keep, "n_words", "n_repeated", "share", "sentence_share"][: last + 3 + len(more)])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return spread(df.select(*[df[c] for c in keep], df[text_col].alias("__text"))).mapInArrow(rows, f"{kinds}, n_words bigint, n_repeated bigint, share double")
+    kinds += ", n_words bigint, n_repeated bigint, share double" + (", sentence_share double" if sentences else "")
+    return spread(df.select(*[df[c] for c in keep], df[text_col].alias("__text"))).mapInArrow(rows, kinds)
 
 
 def binomial_upper(errors: int, n: int, level: float) -> float:
@@ -133,61 +156,62 @@ def binomial_upper(errors: int, n: int, level: float) -> float:
 
 
 def risk_cutoffs(holdout: DataFrame, grid: list[float], most: float = 0.02, level: float = 0.05, fallback: float | None = None) -> DataFrame:
-    """stratum, cutoff, n_good, false_rejects, bound, proven.
+    """stratum, cutoff, n_good, false_rejects, bound, proven, other_good, other_rejects.
 
     ``holdout``: stratum STRING (null is a stratum of its own), share DOUBLE, good BOOLEAN; rows with
-    a null among share and good are left out. A document is rejected if its share reaches the cutoff.
-    Cutoffs are tested from the highest down and the first that fails ends the stratum's sequence,
-    which needs no correction within it; the level is divided by the number of strata (Bonferroni).
+    a null among share and good are left out. Rows whose ``fit`` (if there is such a column) is false take no part
+    in the choice; other_good and other_rejects count the good ones among them and those the cutoff rejects. A document
+    is rejected if its share reaches the cutoff. Cutoffs are tested from the highest down and the first that fails ends
+    the stratum's sequence, which needs no correction within it; the level is divided by the number of strata (Bonferroni).
     A stratum where even the highest isn't proven gets ``fallback`` (None: no cutoff) and proven false.
     Counts are taken by partial aggregation, each stratum's sequence is one small group.
     """
     steps = sorted(set(map(float, grid)), reverse=True)
+    holdout = holdout if "fit" in holdout.columns else holdout.withColumn("fit", F.lit(True))
     good = holdout.where("good and share is not null")
     # the number of cutoffs at or below the share, so one count a stratum and number is enough
     rank = sum((F.col("share") >= F.lit(c)).cast("int") for c in steps)
-    counts = good.groupBy("stratum", rank.alias("reached")).agg(F.count("*").alias("n"))
+    counts = good.groupBy("stratum", "fit", rank.alias("reached")).agg(F.count("*").alias("n"))
     strata = holdout.agg(F.count_distinct(F.coalesce("stratum", F.lit("\0"))).alias("strata"))
-    counts = holdout.select("stratum").distinct().withColumns({"reached": F.lit(0), "n": F.lit(0).cast("bigint")}).unionByName(counts).crossJoin(strata)
+    counts = holdout.select("stratum").distinct().withColumns({"fit": F.lit(True), "reached": F.lit(0), "n": F.lit(0).cast("bigint")}).unionByName(counts).crossJoin(strata)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        n_good = int(pdf["n"].sum())
+        fit, other = pdf[pdf["fit"]], pdf[~pdf["fit"]]
+        n_good = int(fit["n"].sum())
         at = level / max(1, int(pdf["strata"].iloc[0]))
         best = None
         for i, c in enumerate(steps):
-            errors = int(pdf.loc[pdf["reached"] >= len(steps) - i, "n"].sum())
+            errors = int(fit.loc[fit["reached"] >= len(steps) - i, "n"].sum())
             bound = binomial_upper(errors, n_good, at)
             if bound > most:
                 break
             best = (c, errors, bound)
-        stratum = pdf["stratum"].iloc[0]
-        row = (stratum, *best[:1], n_good, *best[1:], True) if best else (stratum, fallback, n_good, 0, 1.0, False)
-        return pd.DataFrame([row], columns=["stratum", "cutoff", "n_good", "false_rejects", "bound", "proven"]).astype({"cutoff": float})
+        cutoff = best[0] if best else fallback
+        reached = sum(c <= cutoff for c in steps) if cutoff is not None else len(steps) + 1
+        rejects = int(other.loc[other["reached"] >= reached, "n"].sum())
+        row = (pdf["stratum"].iloc[0], cutoff, n_good, *(best[1:] if best else (0, 1.0)), best is not None, int(other["n"].sum()), rejects)
+        return pd.DataFrame([row], columns=["stratum", "cutoff", "n_good", "false_rejects", "bound", "proven", "other_good", "other_rejects"]).astype({"cutoff": float})
 
-    return counts.groupBy("stratum").applyInPandas(choose, "stratum string, cutoff double, n_good bigint, false_rejects bigint, bound double, proven boolean")
+    return counts.groupBy("stratum").applyInPandas(choose, "stratum string, cutoff double, n_good bigint, false_rejects bigint, bound double, proven boolean, other_good bigint, other_rejects bigint")
 
 
-def holdout_of(measured: DataFrame, id_col: str, least_words: int, least_share: float, per_stratum: int = HOLDOUT) -> DataFrame:
-    """A labelled holdout: at most ``per_stratum`` documents of each stratum in expectation, by hash of their id.
-
-    good is the rule of the case: fewer than ``least_words`` words or less than ``least_share`` repeated.
-    Only the fit uses it; measures and decisions cover all documents.
-    """
-    sizes = small(cut(measured.groupBy(F.col("stratum").alias("of")).agg(F.count("*").alias("docs"))))
-    part = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("holdout")), 12) / F.lit(float(1 << 52))
-    good = (F.col("n_words") < least_words) | (F.col("share") < least_share)
-    return measured.withColumn("part", part).join(sizes, F.col("stratum").eqNullSafe(F.col("of"))).where(F.col("part") * F.col("docs") < per_stratum).select("stratum", "share", good.alias("good"))
+def labelled(measured: DataFrame, id_col: str, least_words: int) -> DataFrame:
+    """stratum, share, good, fit of every measured document of at least ``least_words`` words; ``fit`` halves them by hash of the id."""
+    half = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("holdout")), 63) == 0
+    return measured.where(F.col("n_words") >= least_words).select("stratum", "share", (F.col("sentence_share") < TOLERATED).alias("good"), half.alias("fit"))
 
 
-def find_repetitive(docs: DataFrame, id_col: str = "doc_id", stratum_col: str = "lang", least_words: int = 40, least_share: float = 0.3, grid: list[float] | None = None, most: float = 0.02, level: float = 0.05) -> tuple[DataFrame, DataFrame]:
+def find_repetitive(docs: DataFrame, id_col: str = "doc_id", stratum_col: str = "lang", least_words: int = 40, least_share: float | None = None, grid: list[float] | None = None, most: float = 0.02, level: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """(measures with the stratum's cutoff and the decision, cutoffs).
 
-    Measures: id, stratum, n_words, n_repeated, share, cutoff, rejected. No cutoff is above
-    ``least_share``, so each document of the case is rejected.
+    Measures: id, stratum, n_words, n_repeated, share, sentence_share, cutoff, rejected: of every document. Rejected are
+    those of at least ``least_words`` words whose share reaches the cutoff of their stratum; in a stratum without a proven
+    cutoff none is. ``least_share`` is a share at which documents are to be rejected whatever the risk: no cutoff is then
+    above it. Cutoffs: see :func:`risk_cutoffs`. An empty table gives no rows.
     """
-    kept = cut(measure_repetition(docs.select(docs[id_col], docs[stratum_col].cast("string").alias("stratum"), docs["text"]), [id_col, "stratum"]))
-    grid = grid or [least_share, *[c for c in (0.28, 0.26, 0.24, 0.22, 0.2, 0.18, 0.16, 0.14, 0.12, 0.1) if c < least_share]]
-    cutoffs = cut(risk_cutoffs(holdout_of(kept, id_col, least_words, least_share), grid, most, level, least_share))
-    out = kept.join(small(cutoffs.select(F.col("stratum").alias("s"), "cutoff")), F.col("stratum").eqNullSafe(F.col("s")), "left").drop("s")
-    rejected = (F.col("n_words") >= least_words) & (F.col("share") >= F.coalesce("cutoff", F.lit(least_share)))
+    kept = cut(measure_repetition(docs.select(docs[id_col], docs[stratum_col].cast("string").alias("stratum"), docs["text"]), [id_col, "stratum"], sentences=True))
+    cutoffs = cut(risk_cutoffs(labelled(kept, id_col, least_words), grid or GRID, most, level))
+    limit = F.least("cutoff", F.lit(least_share))  # nulls are skipped
+    out = kept.join(small(cutoffs.select(F.col("stratum").alias("s"), limit.alias("cutoff"))), F.col("stratum").eqNullSafe(F.col("s")), "left").drop("s")
+    rejected = (F.col("n_words") >= least_words) & F.coalesce(F.col("share") >= F.col("cutoff"), F.lit(False))
     return out.withColumn("rejected", rejected), cutoffs

@@ -2,8 +2,7 @@
 
 The merges of a piece are found with a segment tree over the ranks of adjacent
 pairs: its root is the leftmost pair of lowest rank, a merge updates at most
-three leaves, so a piece of n bytes takes O(n log n) however long it is. Nodes have
-sixteen children; a piece of up to seventeen bytes is a tree of one node.
+three leaves, so a piece of n bytes takes O(n log n) however long it is.
 
 A corpus repeats its words, so encoded stretches are kept in bounded per-worker
 tables. Texts are cut only where the piece pattern can't look across.
@@ -30,8 +29,6 @@ STRETCHES = r" ?\S+|\s+(?!\S)|\s+"
 #: Entries of a worker's table of encoded stretches, and of bytes in one entry's text.
 KEPT, KEPT_CHARS = 400_000, 64
 
-#: Children of a node of the segment tree.
-FAN = 16
 _NONE = 1 << 62
 
 
@@ -67,41 +64,32 @@ class BpeEncoder:
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece by repeated merge of its leftmost pair of lowest rank."""
         tok = [self.single[b] for b in piece]
-        pair = self._pair
-        ranks = [pair(a, b) for a, b in zip(tok, tok[1:])]
-        if len(ranks) > FAN:
-            return self._merge_long(tok, ranks)
-        # a tree of one node: its least entry is the root
-        while ranks and (rank := min(ranks)) != _NONE:
-            i = ranks.index(rank)
-            tok[i : i + 2] = [rank]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = pair(tok[i - 1], rank)
-            if i < len(ranks):
-                ranks[i] = pair(rank, tok[i + 1])
-        return tok
-
-    def _merge_long(self, tok: list[int], ranks: list[int]) -> list[int]:
         n, none, pair = len(tok), _NONE, self._pair
-        # an entry is rank * n + place: the least is the lowest rank, leftmost
-        tree = [[none if r == none else r * n + i for i, r in enumerate(ranks)]]
-        while len(tree[-1]) > 1:
-            low = tree[-1]
-            tree.append([min(low[i : i + FAN]) for i in range(0, len(low), FAN)])
+        if n < 2:
+            return tok
+        # a binary tree in one list: node i has the children 2i and 2i + 1, the leaves begin at ``size``. A leaf is
+        # rank * n + place of the pair that begins there, so the least is the lowest rank, leftmost.
+        size = 1 << (n - 2).bit_length()
+        tree = [none] * (2 * size)
+        for i in range(n - 1):
+            if (r := pair(tok[i], tok[i + 1])) != none:
+                tree[size + i] = r * n + i
+        for i in range(size - 1, 0, -1):
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
 
-        def put(i: int, value: int) -> None:
-            tree[0][i] = value
-            for low, high in zip(tree, tree[1:]):
-                i //= FAN
-                least = min(low[i * FAN : i * FAN + FAN])
-                if high[i] == least:
+        def put(i: int, rank: int) -> None:
+            at = size + i
+            tree[at] = none if rank == none else rank * n + i
+            while at > 1:
+                at >>= 1
+                x, y = tree[2 * at], tree[2 * at + 1]
+                least = x if x < y else y
+                if tree[at] == least:
                     return
-                high[i] = least
+                tree[at] = least
 
-        top = tree[-1]
-        while (root := top[0]) != none:
+        while (root := tree[1]) != none:
             rank, i = divmod(root, n)
             gone = after[i]
             tok[i], tok[gone] = rank, -1
@@ -110,13 +98,11 @@ class BpeEncoder:
                 put(gone, none)
             if nxt < n:
                 before[nxt] = i
-                r = pair(rank, tok[nxt])
-                put(i, none if r == none else r * n + i)
+                put(i, pair(rank, tok[nxt]))
             else:
                 put(i, none)
             if (p := before[i]) >= 0:
-                r = pair(tok[p], rank)
-                put(p, none if r == none else r * n + p)
+                put(p, pair(tok[p], rank))
         return [t for t in tok if t >= 0]
 
     def piece(self, piece: str) -> list[int]:

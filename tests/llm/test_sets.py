@@ -51,12 +51,15 @@ def test_pairs_match_brute_force(spark, threshold, sizes, least):
 
 def test_hot_lists_are_sliced(spark, monkeypatch):
     monkeypatch.setattr(overlap_join, "HOT", 5)
-    sets = random_sets(9, 120, (10, 30), 30)
+    monkeypatch.setattr(overlap_join, "SAMPLED", 0.9)
+    sets = random_sets(9, 120, (10, 30), 30) + [(f"s{i:03d}", ["a", "b", "c", "d", f"x{i}"]) for i in range(40)]
     got = {(r.id_a, r.id_b) for r in overlap_join.similar_pairs(sets_frame(spark, sets), "id", "items", 0.7, 1).collect()}
     assert got == set(brute_pairs(sets, 0.7, 1))
 
 
-def test_copies_are_one_class(spark):
+@pytest.mark.parametrize("members", [1024, 7])
+def test_copies_are_one_class(spark, monkeypatch, members):
+    monkeypatch.setattr(overlap_join, "MEMBERS", members)
     sets = [(f"c{i:03d}", ["a", "b", "c", "d", "e"]) for i in range(60)] + [("z", ["a", "b", "c", "d", "e", "f"])]
     df = sets_frame(spark, sets)
     classes, links = overlap_join.similar_sets(df, "id", "items", 0.8)
@@ -169,6 +172,21 @@ def test_sketch_bounds(spark):
     assert total == len(items) and light.count() <= 256
 
 
+def test_sketch_counts_nothing_twice(monkeypatch):
+    """Blocks that fit, evict and collide: entries are lower bounds, nothing is lost."""
+    rnd, truth = random.Random(4), Counter()
+    sketch = heavy_items.Sketch(3, 2, 8)
+    for block in range(60):
+        some = Counter(f"i{min(int(rnd.paretovariate(0.5)), 60) + block // 20}" for _ in range(80))
+        truth.update(some)
+        items = np.array(list(some), object)
+        hashes = np.array([hash(i) % 13 for i in items])  # also equal hashes of different items
+        sketch.add(items, hashes, np.array(list(some.values())))
+        held = {i: n for i, n in zip(sketch.item.ravel(), sketch.count.ravel()) if i is not None}
+        assert all(n <= truth[i] for i, n in held.items())
+        assert sum(held.values()) + sketch.light.sum() == sum(truth.values())
+
+
 def test_top_items_edge_cases(spark):
     df = spark.createDataFrame([("b",), ("a",), ("a",), ("b",), ("c",), (None,)], "v string")
     assert [(r.item, r.n) for r in heavy_items.most_frequent(df, "v", 2).collect()] == [("a", 2), ("b", 2)]
@@ -186,12 +204,12 @@ def brute_together(rows, least, lift):
     return {p: c for p, c in pair.items() if c >= least and c * n / (single[p[0]] * single[p[1]]) >= lift}
 
 
-@pytest.mark.parametrize("wide,expanded,least,lift", [(1024, 4_000_000, 1, 0.0), (3, 4_000_000, 2, 0.0), (5, 7, 2, 1.2), (1024, 10, 3, 0.9)])
-def test_pair_counts(spark, monkeypatch, wide, expanded, least, lift):
-    monkeypatch.setattr(pair_counts, "WIDE", wide)
+@pytest.mark.parametrize("segment,expanded,least,lift", [(2048, 4_000_000, 1, 0.0), (3, 4_000_000, 2, 0.0), (5, 7, 2, 1.2), (2048, 10, 3, 0.9)])
+def test_pair_counts(spark, monkeypatch, segment, expanded, least, lift):
+    monkeypatch.setattr(pair_counts, "SEGMENT", segment)
     monkeypatch.setattr(pair_counts, "EXPANDED", expanded)
     monkeypatch.setattr(pair_counts, "RECORD_BLOCK", 40)
-    monkeypatch.setattr(pair_counts, "ITEM_BLOCK", 7)
+    monkeypatch.setattr(pair_counts, "WIDTH", 7)
     rows = random_lines(6) + [(None, "I1"), ("o1", None)]
     df = spark.createDataFrame([(o, i, 1, 2) for o, i in rows], "order_id string, item string, code int, n int")
     got = {(r.item_a, r.item_b): r.n_ab for r in pair_counts.together(df, "order_id", "item", least, lift).collect()}
@@ -199,9 +217,33 @@ def test_pair_counts(spark, monkeypatch, wide, expanded, least, lift):
     assert pair_counts.together(df.limit(0), "order_id", "item").count() == 0
 
 
-def test_sparse_gram(monkeypatch):
-    monkeypatch.setattr(pair_counts, "EXPANDED", 5)
-    records, items = np.array([0, 0, 0, 2, 2, 3]), np.array([1, 4, 9, 4, 9, 1])
-    i, j, n = pair_counts.sparse_gram(records, items)
-    assert list(zip(i.tolist(), j.tolist(), n.tolist())) == [(1, 4, 1), (1, 9, 1), (4, 9, 2)]
-    assert len(pair_counts.sparse_gram(records[:0], items[:0])[0]) == 0
+def test_gram_of_ordinary_records(monkeypatch):
+    """Records of a few items go through the products of item blocks, which give the Gram matrix."""
+    monkeypatch.setattr(pair_counts, "EXPANDED", 50)
+    rng = np.random.default_rng(3)
+    x = rng.random((70, 30)) < 0.15
+    record, codes = np.nonzero(x)
+    calls = Counter()
+    for name in ("transpose_product", "gram_triangle"):
+        monkeypatch.setattr(pair_counts, name, lambda *a, f=getattr(pair_counts, name), n=name: (calls.update([n]), f(*a))[1])
+    got = np.zeros((30, 30), int)
+    for i, j, n in pair_counts.gram_tiles(record, codes, np.full(len(codes), 3), 8):
+        assert len(set(zip(i.tolist(), j.tolist()))) == len(i)
+        np.add.at(got, (i, j), n)
+    assert np.array_equal(got, np.triu(x.astype(int).T @ x.astype(int), 1))
+    assert calls == {"gram_triangle": 4, "transpose_product": 6}
+    # a record in two halves: all pairs across them, none within
+    side = np.where(codes < 11, 1, 2)
+    got = np.zeros((30, 30), int)
+    for i, j, n in pair_counts.gram_tiles(record, codes, side, 8):
+        np.add.at(got, (i, j), n)
+    want = np.triu(x.astype(int).T @ x.astype(int), 1)
+    want[:11, :11] = want[11:, 11:] = 0
+    assert np.array_equal(got, want)
+    assert list(pair_counts.gram_tiles(record[:0], codes[:0], side[:0], 8)) == []
+
+
+def test_dense_codes(spark):
+    items = spark.createDataFrame([(f"i{k:04d}", k) for k in range(500)], "item string, more int").repartition(9)
+    got = {r.item: r.code for r in pair_counts.dense_codes(items).collect()}
+    assert got == {f"i{k:04d}": k for k in range(500)}

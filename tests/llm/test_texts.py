@@ -172,6 +172,70 @@ def test_cutoffs_keep_their_promise(spark):
     assert broken <= 0.05 * 200 + 10
 
 
+def exact_upper(errors, n, level):
+    """The same bound by exact integer tails and another search."""
+    from fractions import Fraction
+
+    def tail(p):
+        p = Fraction(p)
+        return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(errors + 1))
+
+    step, at = Fraction(1, 2), Fraction(0)
+    for _ in range(24):
+        if tail(at + step) > level:
+            at += step
+        step /= 2
+    return float(at)
+
+
+def test_cutoffs_by_an_independent_computation(spark):
+    """The cutoffs of all strata from plain counts and exact tails; they lie on both sides of 0.3."""
+    rng = np.random.default_rng(6)
+    rows = [("low", float(s), True) for s in rng.beta(1, 40, 400)] + [("high", float(s), True) for s in rng.beta(6, 14, 500)] + [("few", 0.1, True)] * 90 + [("low", 0.8, False)] * 30
+    grid = [0.9, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05]
+    got = {r.stratum: r for r in repetition.risk_cutoffs(spark.createDataFrame(rows, "stratum string, share double, good boolean"), grid, 0.03, 0.05).collect()}
+    for stratum in ("low", "high", "few"):
+        scores, want = [s for k, s, good in rows if k == stratum and good], (None, None)
+        for c in grid:
+            errors = sum(s >= c for s in scores)
+            if exact_upper(errors, len(scores), 0.05 / 3) > 0.03:
+                break
+            want = (c, errors)
+        r = got[stratum]
+        assert (r.cutoff, r.false_rejects if r.proven else None) == want and r.n_good == len(scores)
+        if r.proven:
+            assert r.bound == pytest.approx(exact_upper(r.false_rejects, r.n_good, 0.05 / 3), abs=1e-6)
+    assert got["low"].cutoff < 0.3 < got["high"].cutoff and not got["few"].proven
+
+
+def test_labels_know_nothing_of_runs():
+    s = "the court finds for the plaintiff on all counts"
+    assert repetition.repeated_sentences(f"{s}. {s.upper()}!\n another matter was decided yesterday") == pytest.approx(len(s) / (2 * len(s) + 38), abs=0.02)
+    assert repetition.repeated_sentences("") == repetition.repeated_sentences("Ja. Ja. Ja.") == 0.0
+    assert repetition.repeated_sentences(" ".join(["one two three four five six seven eight nine"] * 5)) == 0.0  # one sentence, though its runs repeat
+
+
+def test_decisions_follow_the_cutoffs(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = []
+    for i in range(700):
+        fresh = [word() for _ in range(90)]
+        again = fresh[: (i % 9) * 8]
+        rows.append((i, " ".join(fresh + again), "aa"))
+    rows += [(1000 + i, " ".join([word() for _ in range(20)] * 4), "rare") for i in range(3)] + [(2000, "a b " * 10, "aa"), (2001, None, "aa"), (2002, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    told = lambda **k: {r.doc_id: r for r in repetition.find_repetitive(docs, **k)[0].collect()}
+    by_risk, by_case, loose = told(), told(least_share=0.3), told(grid=[0.95, 0.9])
+    rejected = lambda t: {k for k, r in t.items() if r.rejected}
+    cases = {k for k, r in by_case.items() if r.n_words >= 40 and 10 * r.n_repeated >= 3 * r.n_words}
+    # all these documents are good by their sentences, so the proven cutoff lies above the case's share and loses cases
+    assert by_risk[8].cutoff > 0.3 and not rejected(by_risk) >= cases
+    assert rejected(loose) < rejected(told(grid=[0.9, 0.2], most=0.9)) and not rejected(loose)
+    assert rejected(by_case) >= cases and {1000, 1001, 1002} <= cases and by_case[1000].cutoff == 0.3
+    assert not {2000, 2001, 2002} & rejected(by_case) and len(by_risk) == len(rows)
+
+
 def test_find_repetitive_on_nothing(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string, lang string, share double, cutoff double")
     measured, cutoffs = repetition.find_repetitive(none)
