@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import os
+import io
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import local_path, scratch, table
+from ..session import put, scratch, table
 from ..sources.arrow_ipc import read_ipc, to_ipc
 from ..sources.csv_files import infer_types, read_csv, write_csv
 from ..sources.parquet_files import write_parquet
@@ -33,6 +36,20 @@ def csv_strict_types(spark: SparkSession, d: str) -> DataFrame:
     return read_csv(spark, _orders_csv(spark, d), hint=_HINT)
 
 
+def _quoted(spark: SparkSession, d: str) -> DataFrame:
+    """Orders with texts that need quotes: delimiters, quotes, line ends and blanks within; and a flag as the words of a hint's boolean."""
+    o = table(spark, d, "orders")
+    note = F.concat(F.lit('said "'), "o_orderpriority", F.lit('", then\n'), "o_orderstatus", F.lit(" "))
+    words = F.array(*map(F.lit, ("true", "1", "yes", "T", "Y", "false", "0", "no", "F", "N")))
+    return o.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, note).otherwise(F.lit(", ")).alias("note"), F.get(words, (F.col("o_orderkey") % 10).cast("int")).alias("flag"))
+
+
+def csv_quotes(spark: SparkSession, d: str) -> DataFrame:
+    out = scratch(spark)
+    write_csv(_quoted(spark, d), out)
+    return read_csv(spark, out, None, SchemaHint([ColumnDef("order_id", 1), ColumnDef("note", 0), ColumnDef("flag", 3)]))
+
+
 def csv_no_header(spark: SparkSession, d: str) -> DataFrame:
     return read_csv(spark, _orders_csv(spark, d, CsvWriteOptions(has_header=False)), CsvReadOptions(has_header=False)).select("col_0", "col_2", "col_4")
 
@@ -53,9 +70,19 @@ def csv_stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parquet_row_groups(spark: SparkSession, d: str) -> DataFrame:
+    """What the footers of the written files say: rows, and row groups that are not as large as asked though they aren't the last of their file."""
     out = scratch(spark)
     write_parquet(table(spark, d, "orders"), out, ParquetWriteOptions(1024))
-    return spark.read.parquet(out).agg(F.count("*").alias("rows"), F.count_distinct("o_orderkey").alias("keys"))
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                meta = pq.ParquetFile(pa.BufferReader(content.as_buffer())).metadata
+                rows = [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
+                yield pa.RecordBatch.from_pydict({"n": pa.array(rows, pa.int64()), "last": pa.array([i == len(rows) - 1 for i in range(len(rows))], pa.bool_())})
+
+    groups = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(out).select("content").mapInArrow(footers, "n bigint, last boolean")
+    return groups.agg(F.sum("n").alias("rows"), F.count_if(F.expr("n > 1024 or (n <> 1024 and not last)")).alias("odd_groups"))
 
 
 def arrow_roundtrip(spark: SparkSession, d: str) -> DataFrame:
@@ -64,29 +91,30 @@ def arrow_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 def xlsx_read(spark: SparkSession, d: str) -> DataFrame:
     nation = table(spark, d, "nation")  # a few rows in any size
-    folder = local_path(scratch(spark))
-    os.makedirs(folder)
-    write_workbook(f"{folder}/book.xlsx", {"other": [["x"], ["1"]], "nation": [nation.columns, *[[str(v) for v in r] for r in nation.collect()]]})
+    book, at = io.BytesIO(), f"{scratch(spark)}/book.xlsx"
+    write_workbook(book, {"other": [["x"], ["1"]], "nation": [nation.columns, *[[str(v) for v in r] for r in nation.collect()]]})
+    put(spark, at, book.getvalue())
     hint = SchemaHint([ColumnDef("n_nationkey", 1), ColumnDef("n_name", 0), ColumnDef("n_regionkey", 1)])
-    return read_xlsx(spark, f"{folder}/book.xlsx", ExcelLoadOptions("nation"), hint)
+    return read_xlsx(spark, at, ExcelLoadOptions("nation"), hint)
 
 
 _TYPED = "SELECT o_orderkey order_id, o_custkey customer, o_orderstatus status, o_totalprice price, o_orderpriority priority FROM orders"
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (csv_lenient, csv_strict_types, csv_no_header, csv_custom_delimiter, csv_infer_types, csv_stream, parquet_row_groups, arrow_roundtrip, xlsx_read)}
+    return {f.__name__: f for f in (csv_lenient, csv_strict_types, csv_quotes, csv_no_header, csv_custom_delimiter, csv_infer_types, csv_stream, parquet_row_groups, arrow_roundtrip, xlsx_read)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "csv_lenient": "SELECT CAST(o_orderkey AS VARCHAR) o_orderkey, o_orderstatus, o_orderpriority FROM orders",
         "csv_strict_types": _TYPED,
+        "csv_quotes": "SELECT o_orderkey order_id, CASE WHEN o_orderkey % 3 = 0 THEN 'said \"' || o_orderpriority || '\", then' || chr(10) || o_orderstatus || ' ' ELSE ', ' END note, o_orderkey % 10 < 5 flag FROM orders",
         "csv_no_header": "SELECT CAST(o_orderkey AS VARCHAR) col_0, o_orderstatus col_2, o_orderpriority col_4 FROM orders",
         "csv_custom_delimiter": _TYPED,
         "csv_infer_types": "SELECT * FROM (VALUES ('o_custkey', 'bigint'), ('o_orderkey', 'bigint'), ('o_orderpriority', 'string'), ('o_orderstatus', 'string'), ('o_totalprice', 'double')) t(name, type)",
         "csv_stream": _TYPED,
-        "parquet_row_groups": 'SELECT count(*) AS "rows", count(DISTINCT o_orderkey) keys FROM orders',
+        "parquet_row_groups": 'SELECT count(*) AS "rows", 0::BIGINT odd_groups FROM orders',
         "arrow_roundtrip": "SELECT * FROM nation",
         "xlsx_read": "SELECT CAST(n_nationkey AS BIGINT) n_nationkey, n_name, CAST(n_regionkey AS BIGINT) n_regionkey FROM nation",
     }

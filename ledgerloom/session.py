@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
 import zipfile
@@ -15,9 +14,9 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers of a cluster (once an application)."""
+    """Make this package importable in the Python workers, wherever the session was started (once an application)."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.abspath(__file__))
     at = os.path.join(tempfile.mkdtemp(prefix="ledgerloom-"), "ledgerloom.zip")
@@ -79,7 +78,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its input has fewer partitions, as a small single file has; a large input stays as it is."""
+    """``df`` over all cores where its scan has fewer partitions, as a small single file has; a large input, or one with a shuffle, stays as it is."""
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":  # counting its partitions would run its stages
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 
@@ -104,6 +105,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def local_path(path: str) -> str:
-    """A file URI as a plain path."""
-    return re.sub("^file:/*", "/", path)
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file with ``data`` at a path of any file system that the cluster knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()

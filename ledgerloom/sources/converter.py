@@ -14,19 +14,22 @@ from .csv_files import read_csv
 from .parquet_files import write_parquet
 from .xlsx import read_xlsx
 
-#: Fixed value: bytes that a session takes.
-INPUT_CAP = 2 * 1024**3
+#: Bytes that a session takes, and its memory limit in MB.
+INPUT_CAP, MEMORY_LIMIT = 2 * 1024**3, 150
 
 
 class Converter:
     """begin_*, then feed chunks, the last with ``is_last``: that one writes the Parquet dataset to ``out`` and returns its path.
 
     Chunks land in ``folder``, which a cluster's executors must share; a chunk may end anywhere, also within a
-    record or a character.
+    record or a character. What the session itself holds in memory is one chunk, which goes to the file at once; one
+    above ``memory_limit_mb`` is MemoryLimitExceeded, as is more input than ``input_cap`` bytes. Rows are Spark's, which spills.
     """
 
-    def __init__(self, spark: SparkSession, out: str, folder: str | None = None, input_cap: int = INPUT_CAP):
-        self.spark, self.out, self.input_cap = spark, out, input_cap
+    def __init__(self, spark: SparkSession, out: str, folder: str | None = None, input_cap: int = INPUT_CAP, memory_limit_mb: int = MEMORY_LIMIT):
+        if memory_limit_mb < 1:
+            raise ValueError("the memory limit must be at least 1 MB")
+        self.spark, self.out, self.input_cap, self.memory_limit_mb = spark, out, input_cap, memory_limit_mb
         if folder is None and not spark.sparkContext.master.startswith("local"):
             raise ValueError("name a folder that all executors share")
         self.folder = tempfile.mkdtemp(prefix="ledgerloom-convert-", dir=folder)
@@ -51,6 +54,8 @@ class Converter:
             raise InvalidState("no conversion has begun")
         if self.bytes_consumed + len(chunk) > self.input_cap:
             raise MemoryLimitExceeded(f"more than {self.input_cap} bytes of input")
+        if len(chunk) > self.memory_limit_mb * 2**20:
+            raise MemoryLimitExceeded(f"a chunk of {len(chunk)} bytes is above {self.memory_limit_mb} MB")
         with open(self._path, "ab") as f:
             f.write(chunk)
         self.bytes_consumed += len(chunk)

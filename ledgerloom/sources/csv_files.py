@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import CsvMissingHeader, ValidationError
+from ..errors import CsvMissingHeader, InvalidCsv, ValidationError
 from ..functions.casts import FLOAT, INTEGER, strict_cast
 from ..types import CsvReadOptions, CsvWriteOptions, NullHandling, SchemaHint
 
@@ -14,10 +16,27 @@ from ..types import CsvReadOptions, CsvWriteOptions, NullHandling, SchemaHint
 def _reader(spark: SparkSession, o: CsvReadOptions, header: bool):
     if len(o.delimiter) != 1:
         raise ValidationError("the delimiter must be one character")
-    settings = {"sep": o.delimiter, "header": header, "multiLine": o.multi_line, "quote": '"', "escape": '"', "inferSchema": False, "enforceSchema": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "encoding": "UTF-8", "mode": "PERMISSIVE", "nullValue": "￾", "emptyValue": "", "maxColumns": 20480, "maxCharsPerColumn": -1}
+    settings = {"sep": o.delimiter, "header": header, "multiLine": bool(o.multi_line), "quote": '"', "escape": '"', "inferSchema": False, "enforceSchema": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "encoding": "UTF-8", "mode": "PERMISSIVE", "nullValue": "￾", "emptyValue": "", "maxColumns": 20480, "maxCharsPerColumn": -1}
     return spark.read.options(**settings)
 
 
+def surveyed(spark: SparkSession, path: str, o: CsvReadOptions) -> CsvReadOptions:
+    """``o`` with multi_line decided, after one scan of the lines; bytes that are no UTF-8 are InvalidCsv.
+
+    A line with an odd number of quotes may go on in the next one; without such lines no record spans two, and large files
+    can be split among tasks.
+    """
+    line = F.col("value")
+    quotes = F.when(F.contains(line, F.lit('"')), F.octet_length(line) - F.octet_length(F.replace(line, F.lit('"'), F.lit(""))))
+    r = spark.read.text(path).agg(
+        F.max(F.coalesce(quotes % 2 == 1, F.lit(False))).alias("open"),
+        F.min(F.when(~F.is_valid_utf8(line), F.col("_metadata.file_path"))).alias("bad"),
+    ).first()
+    if r.bad is not None:
+        raise InvalidCsv(f"{r.bad} holds bytes that are no UTF-8")
+    return o if o.multi_line is not None else replace(o, multi_line=bool(r.open))
+
+
 def header_of(spark: SparkSession, path: str, o: CsvReadOptions) -> list[str]:
     """Fields of the first record."""
     first = _reader(spark, o, False).csv(path)
@@ -35,9 +54,9 @@ def read_csv(spark: SparkSession, path: str, options: CsvReadOptions | None = No
     Without a hint all columns are strings, named by the header or col_N. With one, names and types are the hint's,
     its length must be that of the first record, and a value that doesn't fit fails the query. Short rows are
     filled with nulls, further fields are dropped. An empty field is null; with EMPTY_STRING a string column
-    keeps it as ''. A file of only a header has no rows; an empty one is CsvMissingHeader.
+    keeps it as ''. A file of only a header has no rows; an empty one is CsvMissingHeader, bytes that are no UTF-8 are InvalidCsv.
     """
-    o = options or CsvReadOptions()
+    o = surveyed(spark, path, options or CsvReadOptions())
     first = header_of(spark, path, o)
     if hint is not None:
         hint.validate(len(first))

@@ -1,4 +1,4 @@
-"""Excel workbooks (.xlsx) as a data source, with the standard library's zip and XML readers."""
+"""Excel workbooks (.xlsx), with the standard library's zip and XML readers; one task reads a workbook."""
 
 from __future__ import annotations
 
@@ -6,11 +6,13 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
+from typing import BinaryIO
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import ExcelEncrypted, ExcelFileTooLarge, ExcelInvalid
 from ..functions.casts import strict_cast
@@ -111,70 +113,51 @@ class Workbook:
         return v.text
 
 
-class _Part(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class XlsxDataSource(DataSource):
-    """``spark.read.format("xlsx")``; options path (comma-separated files on a shared folder), sheet, has_header, names (by line feeds)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "xlsx"
-
-    def schema(self) -> str:
-        return ", ".join(f"c{i} string" for i in range(int(self.options["width"])))
-
-    def reader(self, schema) -> DataSourceReader:
-        return XlsxReader(dict(self.options), len(schema.fields))
-
-
-class XlsxReader(DataSourceReader):
-    """One task for each workbook."""
-
-    def __init__(self, options: dict, width: int):
-        self.options, self.width = options, width
-
-    def partitions(self) -> list[InputPartition]:
-        return [_Part(p) for p in self.options["path"].split(",")]
-
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            book = Workbook(f.read(), int(self.options.get("max_string_table_bytes", 0)))
-        rows = book.rows(_sheet(self.options.get("sheet", "")))
-        if self.options.get("has_header", "true").lower() == "true":
-            next(rows, None)
-        for row in rows:
-            row = row[: self.width] + [""] * (self.width - len(row))
-            yield tuple(v or None for v in row)
-
-
-def _sheet(text: str) -> str | int:
-    return int(text[1:]) if text.startswith("#") else text
+def _books(spark: SparkSession, path: str) -> DataFrame:
+    """The bytes of the workbooks of a path (or of several, by commas), of any file system that the cluster knows."""
+    return spark.read.format("binaryFile").load(path.split(",")).select("path", "content")
 
 
 def read_xlsx(spark: SparkSession, path: str, options: ExcelLoadOptions | None = None, hint: SchemaHint | None = None) -> DataFrame:
-    """Rows of a sheet, as :func:`csv_files.read_csv` gives those of a CSV file."""
+    """Rows of a sheet of each workbook, as :func:`csv_files.read_csv` gives those of a CSV file.
+
+    The first row of the first workbook (by path) gives the columns. Shorter rows are filled with nulls; a value beyond the
+    columns fails the query with ExcelInvalid.
+    """
     o = options or ExcelLoadOptions()
     ship(spark)
-    with open(path.split(",")[0], "rb") as f:
-        book = Workbook(f.read(), o.max_string_table_bytes)
-    first = next(book.rows(o.sheet), None)
+    books = _books(spark, path)
+    first = books.agg(F.min("path").alias("path")).first().path
     if first is None:
+        raise ExcelInvalid("there is no workbook")
+    head = next(Workbook(bytes(books.where(F.col("path") == first).first().content), o.max_string_table_bytes).rows(o.sheet), None)
+    if head is None:
         raise ExcelInvalid("the sheet is empty")
     if hint is not None:
-        hint.validate(len(first))
-    spark.dataSource.register(XlsxDataSource)
-    sheet = f"#{o.sheet}" if isinstance(o.sheet, int) else o.sheet
-    raw = spark.read.format("xlsx").options(path=path, width=str(len(first)), sheet=sheet, has_header=str(o.has_header).lower(), max_string_table_bytes=str(o.max_string_table_bytes)).load()
-    names = [c.name for c in hint.columns] if hint else first if o.has_header else [f"col_{i}" for i in range(len(first))]
-    kinds = [c.type_id for c in hint.columns] if hint else [0] * len(first)
+        hint.validate(len(head))
+    width, has_header, sheet, table = len(head), o.has_header, o.sheet, o.max_string_table_bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = Workbook(content.as_py(), table).rows(sheet)
+                if has_header:
+                    next(rows, None)
+                while part := list(islice(rows, 10_000)):
+                    for row in part:
+                        if any(row[width:]):
+                            raise ExcelInvalid(f"a row of {at} has more than {width} columns")
+                    columns = zip(*[row[:width] + [""] * (width - len(row)) for row in part])
+                    yield pa.RecordBatch.from_arrays([pa.array([v or None for v in c], pa.string()) for c in columns], [f"c{i}" for i in range(width)])
+
+    raw = books.mapInArrow(run, ", ".join(f"c{i} string" for i in range(width)))
+    names = [c.name for c in hint.columns] if hint else head if has_header else [f"col_{i}" for i in range(width)]
+    kinds = [c.type_id for c in hint.columns] if hint else [0] * width
     return raw.select(*[strict_cast(F.col(f"c{i}"), k, n).alias(n) for i, (n, k) in enumerate(zip(names, kinds))])
 
 
-def write_workbook(path: str, sheets: dict[str, list[list[str]]]) -> None:
-    """A workbook of string cells; for small results."""
+def write_workbook(path: str | BinaryIO, sheets: dict[str, list[list[str]]]) -> None:
+    """A workbook of string cells at a local path or in an open file; for small results."""
     from xml.sax.saxutils import escape
 
     main, rel = MAIN[1:-1], "http://schemas.openxmlformats.org/package/2006/relationships"

@@ -83,12 +83,12 @@ class Compression(str, Enum):
 
 @dataclass(frozen=True)
 class CsvReadOptions:
-    """``multi_line`` allows line feeds within quotes, which keeps a file from being split; turn it off for large files without them."""
+    """``multi_line``: whether line feeds within quotes are looked for, which keeps a file from being split; None finds out by one scan of the lines."""
 
     delimiter: str = ","
     has_header: bool = True
     null_handling: NullHandling = NullHandling.NULL
-    multi_line: bool = True
+    multi_line: bool | None = None
 
 
 @dataclass(frozen=True)

@@ -1,16 +1,21 @@
 """CSV, Parquet, Excel, the conversion session and the file stream."""
 
 import glob
+import io
+import random
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom import api
-from ledgerloom.errors import CsvMissingHeader, ExcelEncrypted, ExcelFileTooLarge, ExcelInvalid, InvalidSchema, InvalidState, MemoryLimitExceeded, ParquetRowGroupTooLarge
+from ledgerloom.errors import CsvMissingHeader, ExcelEncrypted, ExcelFileTooLarge, ExcelInvalid, InvalidCsv, InvalidSchema, InvalidState, MemoryLimitExceeded, ParquetRowGroupTooLarge
+from ledgerloom.functions.casts import FLOAT, INTEGER, cast_or_null
+from ledgerloom.session import put
 from ledgerloom.sources.arrow_ipc import read_ipc_files
 from ledgerloom.sources.converter import Converter
-from ledgerloom.sources.csv_files import infer_types, read_csv
+from ledgerloom.sources.csv_files import infer_types, read_csv, surveyed
 from ledgerloom.sources.parquet_files import write_parquet
 from ledgerloom.sources.xlsx import read_xlsx, write_workbook
 from ledgerloom.streaming.csv_stream import csv_to_parquet
@@ -36,16 +41,17 @@ def rows(df):
 
 
 def test_lenient(csv):
-    assert rows(csv("name,age,city\nAlice,30,NYC\nBob,25,LA\n")) == [("Alice", "30", "NYC"), ("Bob", "25", "LA")]
-    no = csv("a,b,c\nd,e,f\n", CsvReadOptions(has_header=False))
-    assert no.columns == ["col_0", "col_1", "col_2"] and len(rows(no)) == 2
-    assert rows(csv("name\tage\nAlice\t30\n", CsvReadOptions("\t"))) == [("Alice", "30")]
-    assert rows(csv("name,city\nAlice,北京\n")) == [("Alice", "北京")]
-    assert rows(csv('name,quote\nAlice,"Say ""Hello"""\n')) == [("Alice", 'Say "Hello"')]
-    assert rows(csv('n,d\nAlice,"Hello\nWorld"\nBob,"Bye"\n')) == [("Alice", "Hello\nWorld"), ("Bob", "Bye")]
-    assert rows(csv("c1,c2\nA, 100 \n")) == [("A", " 100 ")]
-    assert rows(csv("a,a\n1,2\n").toDF("x", "y")) == [("1", "2")]
-    assert rows(csv("a,b\r\n1,2\r\n\r\n3,4\r\n")) == [("1", "2"), ("3", "4")]
+    assert rows(csv("part,bin,dock\nbolt M6,12,north\nwasher,7,west\n")) == [("bolt M6", "12", "north"), ("washer", "7", "west")]
+    no = csv("u7,w2\nq,r\ns,t\n", CsvReadOptions(has_header=False))
+    assert no.columns == ["col_0", "col_1"] and len(rows(no)) == 3
+    assert rows(csv("part\tbin\nnut, hex\t3\n", CsvReadOptions("\t"))) == [("nut, hex", "3")]
+    assert rows(csv("part;dock\nSchraube;Lübeck ☂\n", CsvReadOptions(";"))) == [("Schraube", "Lübeck ☂")]
+    assert rows(csv('part,label\ncable,"5 m ""flat"", grey"\n')) == [("cable", '5 m "flat", grey')]
+    several = csv('part,note\nlamp,"top\nshelf, left"\nfuse,"10 A"\n')
+    assert rows(several) == [("lamp", "top\nshelf, left"), ("fuse", "10 A")]
+    assert rows(csv("part,bin\n reel ,\t4\n")) == [(" reel ", "\t4")]
+    assert rows(csv("a,a\n5,6\n").toDF("x", "y")) == [("5", "6")]
+    assert rows(csv("a,b\r\n5,6\r\n\r\n7,8\r\n")) == [("5", "6"), ("7", "8")]
     assert rows(csv("a,b,c\n")) == []
     assert rows(csv('a,b\n,""\n')) == [(None, None)]
     assert rows(csv('a,b\n,""\n', CsvReadOptions(null_handling=NullHandling.EMPTY_STRING))) == [("", "")]
@@ -53,17 +59,60 @@ def test_lenient(csv):
         csv("")
 
 
+def test_line_feeds_within_quotes_are_looked_up(spark, tmp_path):
+    (tmp_path / "plain.csv").write_text('a,b\n"x, y",1\n"say ""so""",2\n')
+    (tmp_path / "open.csv").write_text('a,b\n"x\ny",1\n')
+    found = lambda name, o=CsvReadOptions(): surveyed(spark, str(tmp_path / name), o).multi_line
+    assert found("plain.csv") is False and found("open.csv") is True and found("plain.csv", CsvReadOptions(multi_line=True)) is True
+    for name in ("plain.csv", "open.csv"):
+        assert rows(read_csv(spark, str(tmp_path / name))) == rows(read_csv(spark, str(tmp_path / name), CsvReadOptions(multi_line=True)))
+
+
+def test_a_file_without_line_feeds_in_quotes_is_split(spark, tmp_path):
+    """A large file is read by several tasks, and no row is lost or read twice."""
+    with open(tmp_path / "large.csv", "w") as f:
+        f.write("n,t\n" + "".join(f'{i},"row, {i}"\n' for i in range(60_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+        df = read_csv(spark, str(tmp_path / "large.csv"), None, hint(1, 0))
+        assert df.rdd.getNumPartitions() > 5
+        got = df.agg({"h0": "sum", "*": "count"}).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(got) == [60_000, sum(range(60_000))]
+
+
+def test_bytes_that_are_no_utf8(spark, tmp_path):
+    (tmp_path / "latin.csv").write_bytes("part,dock\nnail,Köln\n".encode("latin-1"))
+    with pytest.raises(InvalidCsv, match="latin.csv"):
+        read_csv(spark, str(tmp_path / "latin.csv"))
+
+
 def test_strict(csv):
-    assert rows(csv("id,p\n1001,9.99\n+7,.5\n,\n", None, hint(1, 2))) == [(1001, 9.99), (7, 0.5), (None, None)]
-    assert rows(csv("n,a\nA,true\nB,F\nC,1\n", None, hint(0, 3))) == [("A", True), ("B", False), ("C", True)]
+    assert rows(csv("id,p\n+42,.25\n-7,1e3\n,\n0012,5.\n", None, hint(1, 2))) == [(42, 0.25), (-7, 1000.0), (None, None), (12, 5.0)]
+    assert rows(csv("n,a\nx,yes\ny,N\nz,1\n", None, hint(0, 3))) == [("x", True), ("y", False), ("z", True)]
     assert csv("x\n1\n", None, hint(99)).schema["h0"].dataType.simpleString() == "string"
-    for text, kind in (("i\nnot_a_number\n", 1), ("i\n 100 \n", 1), ("i\n9223372036854775808\n", 1), ("i\n1d\n", 2), ("i\nmaybe\n", 3), ("i\n y \n", 3)):
+    for text, kind in (("i\ntwelve\n", 1), ("i\n 41\n", 1), ("i\n41 \n", 1), ("i\n4.0\n", 1), ("i\n+\n", 1), ("i\n9223372036854775808\n", 1), ("i\n1d\n", 2), ("i\n 1.5\n", 2), ("i\n.\n", 2), ("i\nmaybe\n", 3), ("i\n y \n", 3)):
         with pytest.raises(Exception, match="TypeConversionFailed: column 'h0'"):
             rows(csv(text, None, hint(kind)))
     with pytest.raises(InvalidSchema):
         csv("a,b\n1,2\n", None, hint(0, 0, 0))
 
 
+def test_casts_are_those_of_the_patterns(spark):
+    """Numbers and what looks like them: what the ends of a text settle is what its pattern says."""
+    parts = ["", "1", "07", "-", "+", ".", "e5", "E-3", "x", "0x1p3", "d", "f", "NaN", "inf", "Infinity", " ", "\t", "\x7f", "٣", "_", ",", "9223372036854775807", *["8", "25", ".5", "1e2"] * 6]
+    rnd = random.Random(1)
+    texts = sorted({"".join(rnd.choice(parts) for _ in range(rnd.randint(1, 4))) for _ in range(8000)})
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    got = df.select("t", cast_or_null(t, 1).alias("i"), F.when(t.rlike(INTEGER), t.try_cast("bigint")).alias("wi"), cast_or_null(t, 2).alias("d"), F.when(t.rlike(FLOAT), t.try_cast("double")).alias("wd")).collect()
+    assert [(r.t, r.i) for r in got] == [(r.t, r.wi) for r in got]
+    assert [(r.t, str(r.d)) for r in got] == [(r.t, str(r.wd)) for r in got]
+    assert sum(r.d is not None for r in got) > 300
+
+
 def test_hint_json():
     got = SchemaHint.from_json('{"columns":[{"name":"id","type_id":1}]}')
     assert got.columns == [ColumnDef("id", 1)]
@@ -106,10 +155,10 @@ def test_converter(spark, tmp_path):
         c.begin_csv_to_parquet(write=ParquetWriteOptions(64))
         with pytest.raises(InvalidState):
             c.begin_excel_to_parquet()
-        data = "name,age\nÄlice,30\nBob,25\n".encode()
+        data = "part,bin\nÖse,30\nrivet,25\n".encode()
         assert c.feed(data[:10]) is None and c.state == "CsvToParquet"
         assert c.feed(data[10:], True) == str(tmp_path / "o") and c.state == "Idle" and c.bytes_consumed == len(data)
-        assert rows(spark.read.parquet(str(tmp_path / "o"))) == [("Älice", "30"), ("Bob", "25")]
+        assert rows(spark.read.parquet(str(tmp_path / "o"))) == [("Öse", "30"), ("rivet", "25")]
         c.begin_csv_to_parquet()
         with pytest.raises(CsvMissingHeader):
             c.feed(b"", True)
@@ -118,6 +167,12 @@ def test_converter(spark, tmp_path):
     with pytest.raises(MemoryLimitExceeded):
         small.feed(b"123456")
     small.free()
+    with Converter(spark, str(tmp_path / "q"), memory_limit_mb=1) as c:
+        c.begin_csv_to_parquet()
+        with pytest.raises(MemoryLimitExceeded):
+            c.feed(b"x" * (2**20 + 1))
+    with pytest.raises(ValueError):
+        Converter(spark, str(tmp_path / "r"), memory_limit_mb=0)
 
 
 def test_xlsx(spark, tmp_path):
@@ -158,6 +213,19 @@ def test_xlsx_shared_strings(spark, tmp_path):
         read_xlsx(spark, at, ExcelLoadOptions(max_string_table_bytes=10))
 
 
+def test_several_workbooks(spark, tmp_path):
+    write_workbook(str(tmp_path / "a.xlsx"), {"s": [["k", "v"], ["1", "x"], ["2"]]})
+    write_workbook(str(tmp_path / "b.xlsx"), {"s": [["k", "v", "more"], ["3", "y", ""]]})
+    assert sorted(rows(read_xlsx(spark, str(tmp_path)))) == [("1", "x"), ("2", None), ("3", "y")]
+    write_workbook(str(tmp_path / "b.xlsx"), {"s": [["k", "v"], ["3", "y", "beyond"]]})
+    with pytest.raises(Exception, match="more than 2 columns"):
+        rows(read_xlsx(spark, str(tmp_path)))
+    book = io.BytesIO()
+    write_workbook(book, {"s": [["k"], ["9"]]})
+    put(spark, f"file://{tmp_path}/new/c.xlsx", book.getvalue())
+    assert rows(read_xlsx(spark, f"file://{tmp_path}/new/c.xlsx")) == [("9",)]
+
+
 def test_ipc_files(spark, tmp_path):
     for i in range(3):
         t = pa.table({"a": [i, i + 10], "b": ["x", None]})
