@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from . import __version__
 from .errors import ValidationError
@@ -42,8 +43,11 @@ def predict_inventory_demand(spark: SparkSession, data: bytes, predict_steps: in
 
 
 def predict_inventory_demand_batch(spark: SparkSession, data: bytes, predict_steps: int, mode: str = "linear", scaling: str = "none", period: int = 7) -> bytes:
-    """sku_id, step_index, prediction, error_code, error_message of each sku_id, in its order."""
-    return to_ipc(forecast_batch(read_forecast_batch(spark, data), predict_steps, mode, scaling, period).orderBy("sku_id", "step_index"))
+    """sku_id, step_index, prediction, error_code, error_message of each sku_id, in the order in which they first appear."""
+    rows = read_forecast_batch(spark, data)
+    seen = rows.withColumn("at", F.monotonically_increasing_id()).groupBy(F.col("sku_id").alias("sku")).agg(F.min("at").alias("at"))  # rows keep their order
+    out = forecast_batch(rows, predict_steps, mode, scaling, period)
+    return to_ipc(out.join(seen, F.col("sku_id") == F.col("sku")).orderBy("at", "step_index").select(*out.columns))
 
 
 def find_association_patterns(spark: SparkSession, data: bytes, min_support: int) -> bytes:

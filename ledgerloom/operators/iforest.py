@@ -95,15 +95,18 @@ def anomalies(df: DataFrame, threshold: float, scaling: ScalingMethod | int | st
     validate_dims(len(features), strict_dims)
     ship(df.sparkSession)
     rows = validate_features(df, features) if validate else df.count()
-    scaled = scale(df.select(F.col(id_col).alias("order_id"), *[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(features)]), [f"f{i}" for i in range(len(features))], scaling)
+    scaled = scale(spread(df).select(F.col(id_col).alias("order_id"), *[F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(features)]), [f"f{i}" for i in range(len(features))], scaling)
     names = [f"f{i}" for i in range(len(features))]
     wanted = trees * SAMPLE
-    rank = F.xxhash64("order_id", *names, F.lit(seed))
-    part = F.shiftrightunsigned(rank, 12) / F.lit(float(1 << 52))
-    sample = scaled.withColumn("rank", rank)
-    if rows > 4 * wanted:  # few rows from each partition; still uniform
-        sample = sample.where(part < 2.0 * wanted / rows)
-    sample = sample.orderBy("rank", "order_id", *names).limit(wanted).select(*names).toPandas().to_numpy(float)
+    ranked = scaled.withColumn("rank", F.shiftrightunsigned(F.xxhash64("order_id", *names, F.lit(seed)), 12) / F.lit(float(1 << 52)))
+
+    def lowest(of: DataFrame) -> np.ndarray:
+        return of.orderBy("rank", "order_id", *names).limit(wanted).select(*names).toPandas().to_numpy(float)
+
+    # few rows from each partition have the lowest ranks; where copies share ranks, these few may be too few
+    sample = lowest(ranked.where(F.col("rank") < 2.0 * wanted / max(1, rows)))
+    if len(sample) < min(wanted, rows):
+        sample = lowest(ranked)
     if not len(sample):
         return scaled.select("order_id", F.lit(0.0).alias("abnormal_score"), F.lit(False).alias("is_abnormal"))
     forest = Forest(sample, seed, trees)
@@ -114,7 +117,7 @@ def anomalies(df: DataFrame, threshold: float, scaling: ScalingMethod | int | st
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(forest.score(x))], ["order_id", "abnormal_score"])
 
     kind = scaled.schema["order_id"].dataType.simpleString()
-    out = spread(scaled).mapInArrow(run, f"order_id {kind}, abnormal_score double")
+    out = scaled.mapInArrow(run, f"order_id {kind}, abnormal_score double")
     return out.withColumn("is_abnormal", reaches(F.col("abnormal_score"), threshold))
 
 

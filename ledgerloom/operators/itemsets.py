@@ -25,7 +25,7 @@ def item_support(lines: DataFrame, order_col: str = "order_id", item_col: str =
 def frequent_itemsets(baskets: DataFrame, min_support: int, items_col: str = "items") -> DataFrame:
     """pattern, support: all itemsets in at least ``min_support`` baskets, items in order of falling support (ties: by item).
 
-    No patterns is a valid result of no rows. Baskets must hold each item once.
+    Items keep their type, whatever it is. No patterns is a valid result of no rows. Baskets must hold each item once.
     """
     if min_support < 1:
         raise ValidationError("min_support must be at least 1")
@@ -33,14 +33,14 @@ def frequent_itemsets(baskets: DataFrame, min_support: int, items_col: str = "it
     n = baskets.count()
     spark = baskets.sparkSession
     if not n or min_support > n:
-        return spark.createDataFrame([], "pattern array<string>, support bigint")
+        return spark.createDataFrame([], f"pattern {baskets.schema['items'].dataType.simpleString()}, support bigint")
     # the miner takes a share and rounds it up to a count
     found = FPGrowth(itemsCol="items", minSupport=min(1.0, (min_support - 0.5) / n), minConfidence=1.0).fit(baskets).freqItemsets
     found = cut(found.where(F.col("freq") >= min_support))  # mined once
     support = found.where(F.size("items") == 1).select(F.col("items")[0].alias("item"), F.col("freq").alias("own"))
     ranked = found.select("items", "freq", F.explode("items").alias("item")).join(support, "item")
     ranked = ranked.groupBy("items", "freq").agg(F.array_sort(F.collect_list(F.struct((-F.col("own")).alias("o"), "item"))).alias("r"))
-    return ranked.select(F.transform("r", lambda x: x["item"].cast("string")).alias("pattern"), F.col("freq").alias("support"))
+    return ranked.select(F.transform("r", lambda x: x["item"]).alias("pattern"), F.col("freq").alias("support"))
 
 
 def eliminated_baskets(baskets: DataFrame, min_support: int, items_col: str = "items", id_col: str = "order_id") -> DataFrame:

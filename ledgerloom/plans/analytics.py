@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import clustering, forecast, iforest, itemsets, knn
 from ..operators.scaling import normalize_scores, scale
 from ..operators.validate import feature_counts
-from ..session import table
+from ..session import cut, table
 from ..types import PredictionMode, ScalingMethod
 
 Q: dict = {}
@@ -163,12 +163,17 @@ def _demand(spark: SparkSession, d: str) -> DataFrame:
 
 
 _DEMAND = "s0 AS (SELECT sku_id, time_index o, arg_max_null(demand, (loaded_ts, coalesce(demand, -1.0))) y FROM forecast_batch WHERE sku_id IS NOT NULL GROUP BY 1, 2), ok AS (SELECT sku_id FROM s0 GROUP BY 1 HAVING count(*) > 1 AND count(y) = count(*)), s AS (SELECT * FROM s0 SEMI JOIN ok USING (sku_id))"
-for _name in ("linear", "ensemble"):
-    _enough = {"linear": 1, "ensemble": 5}[_name]
+def _series_of(rows: DataFrame, most: int) -> DataFrame:
+    """Series of more than ``most`` points."""
+    return rows.join(rows.groupBy("sku_id").agg(F.count("*").alias("points")).where(F.col("points") > most).select("sku_id"), "sku_id", "left_semi")
+
+
+# an ensemble of four features is determined by five points, and by more than seven well so
+for _name, _enough in (("linear", 1), ("ensemble", 7)):
     _add(
         f"forecast_skus_{_name}",
-        lambda s, d, m=_MODES[_name], k=_enough: _rounded(forecast.forecast(_demand(s, d), "sku_id", ["time_index"], "demand", 4, m).where("error_code is null").select("sku_id", "step_index", "prediction"), 3, "prediction"),
-        f"SELECT sku_id, step_index, prediction FROM ({_forecast_sql(_DEMAND.replace('count(*) > 1', f'count(*) > {_enough}'), _MODES[_name], 4, 0, 3)})" if _name == "linear" else None,
+        lambda s, d, m=_MODES[_name], k=_enough: _rounded(forecast.forecast(_series_of(_demand(s, d), k) if k > 1 else _demand(s, d), "sku_id", ["time_index"], "demand", 4, m).where("error_code is null").select("sku_id", "step_index", "prediction"), 3, "prediction"),
+        f"SELECT sku_id, step_index, prediction FROM ({_forecast_sql(_DEMAND.replace('count(*) > 1', f'count(*) > {_enough}'), _MODES[_name], 4, 0, 3)})",
     )
 _add(
     "linear_regression_x",
@@ -198,7 +203,7 @@ def _share(baskets: DataFrame, per_mille: int) -> int:
 
 
 def _patterns(lines: DataFrame, per_mille: int, size: int | None = None) -> DataFrame:
-    baskets = itemsets.transactions(lines)
+    baskets = cut(itemsets.transactions(lines))
     found = itemsets.frequent_itemsets(baskets, _share(baskets, per_mille))
     found = found if size is None else found.where(F.size("pattern") == size)
     return found.select(F.array_join(F.sort_array("pattern"), "|").alias("pattern"), "support")

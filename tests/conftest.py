@@ -19,7 +19,7 @@ def spark(tmp_path_factory):
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.codegen.wholeStage", "false")  # compiling takes longer than small tables do
+        .config("spark.sql.codegen.wholeStage", "false")  # compiling takes longer than small tables do; queries run with it, see compiled
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .getOrCreate()
     )
@@ -29,6 +29,14 @@ def spark(tmp_path_factory):
     s.stop()
 
 
+@pytest.fixture
+def compiled(spark):
+    """Plans as they run in production, with compiled stages."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    yield spark
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+
+
 @pytest.fixture(scope="session")
 def duck():
     """The tables of the smallest data as views."""

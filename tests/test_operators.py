@@ -140,24 +140,35 @@ def test_linear_regression_x(spark):
     assert [r.prediction for r in forecast.linear_regression(df, "x", "y", 3).orderBy("step_index").collect()] == pytest.approx([10, 12, 14])
 
 
-BASKETS = "ecabfh acg e ecagd aceg e acebf acd gcea aceg i".split()
+def own_baskets():
+    """Forty baskets of up to seven of nine items, some items far more frequent than others."""
+    rnd = random.Random(20)
+    return [sorted({"klmnopqrs"[min(8, int(rnd.expovariate(0.45)))] for _ in range(rnd.randint(1, 7))}) for _ in range(40)]
 
 
 def brute(baskets, least):
-    items, out = sorted(set("".join(baskets))), {}
+    items, out = sorted({i for b in baskets for i in b}), {}
     for k in range(1, len(items) + 1):
         for c in itertools.combinations(items, k):
             if (n := sum(set(c) <= set(b) for b in baskets)) >= least:
-                out["".join(c)] = n
+                out[c] = n
     return out
 
 
-@pytest.mark.parametrize("least,count", [(2, 43), (3, 15), (5, 11), (7, 4), (8, 4), (9, 0), (999, 0)])
-def test_itemsets(spark, least, count):
-    df = spark.createDataFrame([(str(i), list(b)) for i, b in enumerate(BASKETS)], "order_id string, items array<string>")
+@pytest.mark.parametrize("least", [1, 2, 4, 9, 15, 30, 999])
+def test_itemsets(spark, least):
+    baskets = own_baskets()
+    df = spark.createDataFrame([(str(i), b) for i, b in enumerate(baskets)], "order_id string, items array<string>")
     rows = itemsets.frequent_itemsets(df, least).collect()
-    assert len(rows) == count
-    assert {"".join(sorted(r.pattern)): r.support for r in rows} == brute(BASKETS, least)
+    assert {tuple(sorted(r.pattern)): r.support for r in rows} == brute(baskets, least) and len(rows) == len(brute(baskets, least))
+
+
+def test_items_of_other_types(spark):
+    baskets = [[ord(i) for i in b] for b in own_baskets()]
+    rows = itemsets.frequent_itemsets(spark.createDataFrame([(b,) for b in baskets], "items array<bigint>"), 5).collect()
+    assert {tuple(sorted(r.pattern)): r.support for r in rows} == brute(baskets, 5) and isinstance(rows[0].pattern[0], int)
+    none = itemsets.frequent_itemsets(spark.createDataFrame([([1],)], "items array<int>"), 2)
+    assert none.count() == 0 and none.schema["pattern"].dataType.simpleString() == "array<int>"
 
 
 def test_itemset_edges(spark):
@@ -241,6 +252,13 @@ def test_anomalies_do_not_depend_on_partitions(spark):
     assert b == c and set(a) == set(b)
 
 
+def test_anomalies_among_copies(spark):
+    """Rows of which most are copies of one still give a sample and a score, at any number of rows."""
+    df = frame(spark, [0.0] * 500 + [50.0], [0.0] * 500 + [-50.0]).withColumn("order_id", F.lit("same"))
+    got = {round(r.f, 3) for r in iforest.anomalies(df, 0.5, trees=2).agg(F.max("abnormal_score").alias("f")).collect()}
+    assert got and got != {0.0}
+
+
 def test_validate(spark):
     for values in ([1, float("nan")], [1, float("inf")], []):
         with pytest.raises(ValidationError):
@@ -274,6 +292,9 @@ def test_api(spark):
     batch = ipc(sku_id=["A", "A", "B"], time_index=[0.0, 1.0, 0.0], demand=[1.0, 2.0, 3.0], more=[1, 2, 3])
     got = pa.ipc.open_stream(api.predict_inventory_demand_batch(spark, batch, 1)).read_all().to_pydict()
     assert got["sku_id"] == ["A", "B"] and got["error_code"] == [None, "ValidationError"]
+    late = ipc(sku_id=["Z", "A", "Z", "M", "A", "M"], time_index=[0.0, 0.0, 1.0, 0.0, 1.0, 1.0], demand=[1.0, 2.0, 3.0, 4.0, 5.0, 6.0])
+    got = pa.ipc.open_stream(api.predict_inventory_demand_batch(spark, late, 2)).read_all().to_pydict()
+    assert got["sku_id"] == ["Z", "Z", "A", "A", "M", "M"] and got["step_index"] == [0, 1] * 3  # as they first appear
     got = pa.ipc.open_stream(api.find_association_patterns(spark, ipc(o=["1", "1", "2"], i=["x", "y", "x"]), 2)).read_all().to_pydict()
     assert got == {"pattern": [["x"]], "support": [2]}
     assert pa.ipc.open_stream(api.find_association_patterns(spark, ipc(o=["1"], i=["x"]), 9)).read_all().num_rows == 0

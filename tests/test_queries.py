@@ -11,8 +11,8 @@ QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query(name, spark, duck):
-    df = QUERIES[name](spark, DATA)
+def test_query(name, compiled, duck):
+    df = QUERIES[name](compiled, DATA)
     if name in SQL:
         assert_same(df, duck, SQL[name])
     else:
@@ -20,9 +20,9 @@ def test_query(name, spark, duck):
         df.collect()
 
 
-def test_entry(spark):
+def test_entry(compiled):
     import __spark_entry__
 
-    rows = __spark_entry__.entry(spark).collect()
+    rows = __spark_entry__.entry(compiled).collect()
     assert len(rows) == 15
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
