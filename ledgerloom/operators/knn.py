@@ -26,11 +26,12 @@ def lists(q: np.ndarray, p: np.ndarray, d: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(d, pa.float64()), pa.array(p, pa.int64())], ["dist", "nbr"]))
 
 
-def nearest_lists(points: DataFrame, k: int, screen: Callable = Products, radius: float = ENDLESS, slack: float = 1e-12) -> DataFrame:
-    """pid, near: the k nearest other points of each point (pid, z) within ``radius``, in order of (distance, pid); exact.
+def nearest_lists(points: DataFrame, k: int, screen: Callable = Products, radius: float = ENDLESS, slack: float = 1e-12, visits: int | None = None) -> DataFrame:
+    """pid, near: the k nearest other points of each point (pid, z) within ``radius``, in order of (distance, pid).
 
     Spatial blocks bound the work: the home block gives each point an upper bound of its k-th distance, and the point
-    then visits only blocks that are nearer than that. Lists of all blocks are merged. ``screen`` makes the object that
+    then visits only blocks that are nearer than that. Lists of all blocks are merged. This is exact; with ``visits`` a point
+    visits at most so many other blocks, which bounds what is shuffled in any dimension and may miss neighbours. ``screen`` makes the object that
     compares queries with a cell's rows, see :func:`space.nearest`.
     """
     blocks = into_blocks(points)
@@ -59,21 +60,21 @@ def nearest_lists(points: DataFrame, k: int, screen: Callable = Products, radius
 
     own = blocks.select("block", F.lit(0).alias("role"), "pid", "z")  # already spread and sorted by block
     home = cut(own.mapInArrow(lambda b: by_block(b, at_home, lambda state, rows: iter(())), f"block int, pid bigint, z array<double>, reach double, {_LISTS.split(', ', 1)[1]}"))
-    away = with_visitors(home.select("block", "pid", "z", "reach"), "reach", ["reach"]).mapInArrow(lambda b: by_block(b, hold, visit), _LISTS)
+    away = with_visitors(home.select("block", "pid", "z", "reach"), "reach", ["reach"], visits).mapInArrow(lambda b: by_block(b, hold, visit), _LISTS)
     every = home.select("pid", "near").unionByName(away)
     return every.groupBy("pid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
 
-def knn(df: DataFrame, id_col: str, vector: Column, k: int) -> DataFrame:
+def knn(df: DataFrame, id_col: str, vector: Column, k: int, visits: int | None = None) -> DataFrame:
     """id, neighbour, distance, nth: the k nearest other rows of each row (ids are unique; ties by id; k is clamped to the rows there are).
 
-    See :func:`nearest_lists` for how the work is bounded.
+    See :func:`nearest_lists` for how the work is bounded, and for ``visits``.
     """
     if k < 1:
         raise ValidationError("k must be at least 1")
     rows = df.select(F.col(id_col).alias("id"), vector.alias("z")).where("id is not null")
     points = cut(rows.repartitionByRange("id").sortWithinPartitions("id").withColumn("pid", F.monotonically_increasing_id()))
-    near = nearest_lists(points.select("pid", "z"), k).select("pid", F.posexplode("near").alias("pos", "n"))
+    near = nearest_lists(points.select("pid", "z"), k, visits=visits).select("pid", F.posexplode("near").alias("pos", "n"))
     near = near.select("pid", (F.col("pos") + 1).alias("nth"), F.col("n.nbr").alias("nbr"), F.col("n.dist").alias("dist"))
     name = points.select("pid", "id")
     return near.join(name, "pid").join(name.select(F.col("pid").alias("nbr"), F.col("id").alias("neighbour")), "nbr").select("id", "neighbour", F.col("dist").alias("distance"), "nth")

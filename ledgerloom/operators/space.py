@@ -179,10 +179,11 @@ def boxes(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array([r.block for r in got]), np.array([r.low for r in got]), np.array([r.high for r in got])
 
 
-def with_visitors(blocks: DataFrame, reach: float | str, extra: list[str] | None = None) -> DataFrame:
+def with_visitors(blocks: DataFrame, reach: float | str, extra: list[str] | None = None, visits: int | None = None) -> DataFrame:
     """block, role, pid, z and the columns ``extra``: each row at home (role 0) and in every other block within its reach (role 1).
 
-    ``reach`` is a distance, or a column with one for each row. Spread by block, sorted by block and role.
+    ``reach`` is a distance, or a column with one for each row. With ``visits`` a row goes to at most so many other blocks,
+    those whose boxes are nearest. Spread by block, sorted by block and role.
     """
     extra = list(extra or [])
     own = reach if isinstance(reach, str) else None
@@ -198,7 +199,12 @@ def with_visitors(blocks: DataFrame, reach: float | str, extra: list[str] | None
             step = max(1, TILE // max(1, len(numbers)))
             rows, where = [np.arange(len(z))], [home]
             for at in range(0, len(z), step):
-                r, k = np.nonzero(box_distances(z[at : at + step], low, high) <= (limit[at : at + step] ** 2)[:, None])
+                apart = box_distances(z[at : at + step], low, high)
+                near = apart <= (limit[at : at + step] ** 2)[:, None]
+                if visits is not None and visits + 1 < len(numbers):
+                    far = np.argpartition(apart, visits + 1, axis=1)[:, visits + 1 :]  # the home block is at distance 0
+                    np.put_along_axis(near, far, False, axis=1)
+                r, k = np.nonzero(near)
                 other = numbers[k] != home[at + r]
                 rows.append(at + r[other])
                 where.append(numbers[k[other]])
