@@ -269,3 +269,18 @@ def test_neighbours_without_a_radius(spark, blocks):
     for i in range(len(x)):
         want = [(f"o{j:04d}", dist) for dist, j in sorted((d[i, j], j) for j in range(len(x)) if j != i)[:5]]
         assert got[f"o{i:04d}"] == want
+
+
+def test_recall_of_bounded_visits(spark, monkeypatch):
+    """In one dense region, where the exact way has vectors visit most blocks, some visits find nine of ten neighbours."""
+    monkeypatch.setattr(space.into_blocks, "__defaults__", (128,))
+    x = np.random.default_rng(12).normal(size=(4000, 10)).round(4)
+    df = frame(spark, x)
+    exact = {r.id: {n.id for n in r.neighbours} for r in neighbours.nearest_vectors(df, 5).collect()}
+    some = {r.id: {n.id for n in r.neighbours} for r in neighbours.nearest_vectors(df, 5, visits=12).collect()}
+    asked = sorted(i for i in exact if int(i[1:]) % 20 == 0)
+    d = np.sqrt(((x[::20, None, :] - x[None, :, :]) ** 2).sum(2))
+    for row, i in enumerate(asked):
+        want = np.argsort(d[row], kind="stable")[1:6]
+        assert exact[i] == {f"o{j:04d}" for j in want}
+    assert sum(len(some[i] & exact[i]) for i in asked) / (5 * len(asked)) >= 0.9
