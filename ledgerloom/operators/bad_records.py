@@ -8,7 +8,6 @@ diagnosed strictly, one by one, and the strict parser has the last word on them.
 
 from __future__ import annotations
 
-import io
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -111,15 +110,22 @@ def _legal(delimiter: str, columns: int) -> str:
 def _parse_block(records: pa.Array, delimiter: str, types: list[int]) -> list[pa.Array] | None:
     """String columns of a block all of whose records are valid, else None. Never takes an invalid record."""
     pattern = _legal(delimiter, len(types))
-    if not pattern or not 1 <= len(types) <= 200 or not pc.all(pc.match_substring_regex(records, pattern)).as_py():
+    if not pattern or not 1 <= len(types) <= 200:
+        return None
+    if pc.any(pc.match_substring(records, '"')).as_py():
+        legal = pc.match_substring_regex(records, pattern)
+    else:
+        legal = pc.equal(pc.count_substring(records, delimiter), len(types) - 1)
+    if not pc.all(legal).as_py():
         return None
     if pc.any(pc.ends_with(records, "\r")).as_py():  # with the line end that follows it would be taken for CR LF
         return None
-    text = "\n".join(records.to_pylist()) + "\n"
+    one = pa.ListArray.from_arrays(pa.array([0, len(records)], pa.int32()), records)
+    text = pc.binary_join(one, "\n")[0].as_buffer().to_pybytes() + b"\n"
     names = [str(i) for i in range(len(types))]
     try:
         got = pacsv.read_csv(
-            io.BytesIO(text.encode()),
+            pa.BufferReader(text),
             pacsv.ReadOptions(column_names=names, use_threads=False, block_size=max(len(text) * 4, 1 << 16)),
             pacsv.ParseOptions(delimiter=delimiter, newlines_in_values=True, ignore_empty_lines=False),
             pacsv.ConvertOptions(column_types=dict.fromkeys(names, pa.string()), strings_can_be_null=False, quoted_strings_can_be_null=False),
@@ -170,73 +176,100 @@ def check_block(records: pa.Array, delimiter: str, names: list[str], types: list
 
 
 def prepare_records(records: DataFrame, options: DataFrame, columns: DataFrame) -> DataFrame:
-    """Data records with their file's definition, spread by blocks: file_id, line_no, raw, delimiter, names, types.
+    """Records and definitions of files in one stream: file_id, salt, line_no, raw, delimiter, has_header, names, types.
 
-    Line 1 of a file with a header and empty records are no data; one trailing CR is no part of a
-    record. A record delivered again counts once, the latest delivery with a text wins (ties: the
-    greater text). Records of a file without options or columns, or with a null key, are left out.
+    Spread by file and sorted: the definition of a file comes first (raw null), then its records by line, the latest
+    delivery with a text first (ties: the greater text). So a definition travels once a task and not once a record, and
+    one shuffle serves the deliveries and the definitions. Rows with a null key and records without a text are left out.
     A file of more than PART records is spread over as many tasks as it has parts, and its definition with
     it; these files are counted beforehand, from the one column.
     """
-    raw = records.select(F.col("file_id"), F.col("line_no"), F.col("raw_text").alias("raw"), F.col("loaded_ts"))
-    raw = raw.where("file_id is not null and line_no is not null and raw is not null")
-    # one shuffle serves both the deliveries of a record and the join
+    raw = records.select("file_id", "line_no", F.col("raw_text").alias("raw"), "loaded_ts").where("file_id is not null and line_no is not null and raw is not null")
     large = cut(records.groupBy("file_id").agg(F.count("*").alias("n")).where((F.col("n") > PART) & F.col("file_id").isNotNull()))
     large = small(large.select("file_id", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
     parts = F.coalesce("parts", F.lit(1))
-    raw = raw.join(large, "file_id", "left").withColumn("salt", F.pmod(F.floor(F.col("line_no") / BLOCK), parts).cast("int")).drop("parts").repartition("file_id", "salt")
-    raw = raw.groupBy("file_id", "salt", "line_no").agg(F.max_by("raw", F.struct("loaded_ts", "raw")).alias("raw"))
-    raw = raw.withColumn("raw", F.regexp_replace("raw", r"\r\z", "")).where("raw <> ''")
+    raw = raw.join(large, "file_id", "left").withColumn("salt", F.pmod(F.floor(F.col("line_no") / BLOCK), parts).cast("int"))
     one = Window.partitionBy("file_id", "col_no").orderBy("name", "type_id")  # repeated definitions of a column count once
     columns = columns.where("file_id is not null and col_no is not null").withColumn("nth", F.row_number().over(one)).where("nth = 1")
     columns = columns.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("col_no", "name", "type_id"))).alias("cols"))
     options = options.groupBy("file_id").agg(F.max("delimiter").alias("delimiter"), F.max("has_header").alias("has_header"))
     files = options.join(columns, "file_id").join(large, "file_id", "left").where("delimiter is not null and delimiter <> ''").select(
-        "file_id", "delimiter", "has_header", F.transform("cols", lambda c: F.coalesce(c["name"], F.lit(""))).alias("names"), F.transform("cols", lambda c: F.coalesce(c["type_id"], F.lit(0)).cast("int")).alias("types"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt")
+        "file_id", "delimiter", F.coalesce("has_header", F.lit(False)).alias("has_header"), F.transform("cols", lambda c: F.coalesce(c["name"], F.lit(""))).alias("names"), F.transform("cols", lambda c: F.coalesce(c["type_id"], F.lit(0)).cast("int")).alias("types"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt")
     )
-    rows = raw.join(files, ["file_id", "salt"]).where("not (coalesce(has_header, false) and line_no = 1)")
-    return rows.select("file_id", "line_no", "raw", "delimiter", "names", "types").sortWithinPartitions("file_id", "line_no")
+    names = ["file_id", "salt", "line_no", "raw", "loaded_ts", "delimiter", "has_header", "names", "types"]
+    both = raw.select("file_id", "salt", "line_no", "raw", "loaded_ts").unionByName(files, allowMissingColumns=True).select(*names)
+    spread = both.repartition("file_id", "salt").sortWithinPartitions("file_id", "salt", F.col("raw").isNotNull(), "line_no", F.desc_nulls_last("loaded_ts"), F.desc("raw"))
+    return spread.drop("loaded_ts")
 
 
-_OUT = "file_id string, line_no bigint, reason string, column_name string, fields array<string>, names array<string>, types array<int>"
+_OUT = "file_id string, line_no bigint, reason string, column_name string"
+_FIELDS = ", fields array<string>, names array<string>, types array<int>"
 
 
-def parse_records(records: DataFrame, options: DataFrame, columns: DataFrame) -> DataFrame:
-    """Every data record once: file_id, line_no, reason, column_name, fields, names, types.
+def parse_records(records: DataFrame, options: DataFrame, columns: DataFrame, fields: bool = True) -> DataFrame:
+    """Every data record once: file_id, line_no, reason, column_name, and with ``fields`` also fields, names, types.
 
-    Valid records have reason '' and their fields (empty ones null); failing records have no fields.
-    See :func:`prepare_records` for what a data record is. Empty tables give no rows.
+    Line 1 of a file with a header and empty records are no data; one trailing CR is no part of a record. A record
+    delivered again counts once, see :func:`prepare_records`. Records of a file without options or columns are left out.
+    Valid records have reason '' and their fields (empty ones null); failing records have no fields. Without
+    ``fields`` only the failing records come out. Empty tables give no rows.
     """
     ship(records.sparkSession)
     prepared = prepare_records(records, options, columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, definition, last = None, None, None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            codes = np.asarray(batch.column(0).dictionary_encode().indices)
-            order = np.argsort(codes, kind="stable")
-            edges = np.r_[0, np.nonzero(np.diff(codes[order]))[0] + 1, len(order)]
+            codes = np.asarray(batch.column(0).dictionary_encode().indices).astype(np.int64)
+            salt, line = np.asarray(batch.column(1)), np.asarray(batch.column(2).fill_null(-1))
+            head = np.asarray(pc.is_null(batch.column(3)).to_numpy(zero_copy_only=False))
+            edges = np.r_[0, np.nonzero((np.diff(codes) != 0) | (np.diff(salt) != 0))[0] + 1, len(codes)]
             for a, b in zip(edges[:-1], edges[1:]):
-                for at in range(a, b, BLOCK):
-                    yield _block(batch.take(pa.array(order[at : min(b, at + BLOCK)])))
-
-    def _block(rows: pa.RecordBatch) -> pa.RecordBatch:
-        n = rows.num_rows
-        delimiter, names, types = (rows.column(i)[0].as_py() for i in (3, 4, 5))
-        good, single, failed = check_block(rows.column(2), delimiter, names, types)
-        reason, column, fields = [""] * n, [""] * n, [None] * n
-        for first, size, columns in good:
-            for i, row in enumerate(zip(*(c.to_pylist() for c in columns))):
-                fields[first + i] = [v or None for v in row]
-        for i, row in single:
-            fields[i] = [v or None for v in row]
+                now = (batch.column(0)[int(a)].as_py(), int(salt[a]))
+                if now != key:
+                    key, definition, last = now, None, None
+                if head[a]:
+                    definition, a = [batch.column(i)[int(a)].as_py() for i in (4, 5, 6, 7)], a + 1
+                if definition is None or a == b:
+                    continue
+                first = np.r_[line[a] != last, line[a + 1 : b] != line[a : b - 1]]  # of a record's deliveries
+                last = line[b - 1]
+                rows = np.nonzero(first & ~((line[a:b] == 1) & definition[1]))[0] + a
+                raw, at = batch.column(3).take(pa.array(rows)), line[rows]
+                if pc.any(cr := pc.ends_with(raw, "\r")).as_py():
+                    raw = pc.if_else(cr, pc.utf8_slice_codeunits(raw, 0, -1), raw)
+                filled = pc.greater(pc.binary_length(raw), 0)
+                raw, at = raw.filter(filled), at[np.asarray(filled.to_numpy(zero_copy_only=False))]
+                for s in range(0, len(raw), BLOCK):
+                    yield _block(now[0], raw.slice(s, BLOCK), at[s : s + BLOCK], definition)
+
+    def _block(file: str, raw: pa.Array, line: np.ndarray, definition: list) -> pa.RecordBatch:
+        delimiter, _, names, types = definition
+        good, single, failed = check_block(raw, delimiter, names, types)
+        if not fields:
+            rows = np.array([i for i, _, _ in failed], np.int64)
+            arrays = [pa.array([file] * len(rows), pa.string()), pa.array(line[rows]), pa.array([why for _, why, _ in failed], pa.string()), pa.array([name for _, _, name in failed], pa.string())]
+            return pa.RecordBatch.from_arrays(arrays, ["file_id", "line_no", "reason", "column_name"])
+        n, none = len(raw), pa.scalar(None, pa.string())
+        # sub-blocks and single records in any order, each with its lists; then taken in the order of the block
+        places, lists = [], []
+        for first, m, columns in good:
+            places.append(np.arange(first, first + m))
+            values = pa.concat_arrays(columns).take(pa.array(np.arange(m * len(columns)).reshape(len(columns), m).T.ravel()))
+            lists.append(pa.ListArray.from_arrays(pa.array(np.arange(0, m * len(columns) + 1, len(columns), dtype=np.int32)), pc.if_else(pc.equal(values, ""), none, values)))
+        places.append(np.array([i for i, _ in single] + [i for i, _, _ in failed], np.int64))
+        lists.append(pa.array([[v or None for v in row] for _, row in single] + [None] * len(failed), pa.list_(pa.string())))
+        order = pa.array(np.argsort(np.concatenate(places), kind="stable"))
+        reason, column = [""] * n, [""] * n
         for i, why, name in failed:
             reason[i], column[i] = why, name
-        arrays = [rows.column(0), rows.column(1), pa.array(reason, pa.string()), pa.array(column, pa.string()), pa.array(fields, pa.list_(pa.string())), rows.column(4), rows.column(5)]
+        same = pa.array(np.zeros(n, np.int64))
+        arrays = [pa.array([file] * n, pa.string()), pa.array(line), pa.array(reason, pa.string()), pa.array(column, pa.string()), pa.concat_arrays(lists).take(order), pa.array([names], pa.list_(pa.string())).take(same), pa.array([types], pa.list_(pa.int32())).take(same)]
         return pa.RecordBatch.from_arrays(arrays, ["file_id", "line_no", "reason", "column_name", "fields", "names", "types"])
 
-    return prepared.mapInArrow(run, _OUT)
+    return prepared.mapInArrow(run, _OUT + (_FIELDS if fields else ""))
 
 
 def failing_records(parsed: DataFrame) -> DataFrame:

@@ -8,12 +8,12 @@ from ..operators.bad_records import failing_records, parse_records, typed_rows
 from ..session import table
 
 
-def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    return parse_records(table(spark, d, "raw_records"), table(spark, d, "csv_options"), table(spark, d, "column_defs"))
+def _parsed(spark: SparkSession, d: str, fields: bool = True) -> DataFrame:
+    return parse_records(table(spark, d, "raw_records"), table(spark, d, "csv_options"), table(spark, d, "column_defs"), fields)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return failing_records(_parsed(spark, d))
+    return failing_records(_parsed(spark, d, fields=False))
 
 
 def p5_rows(spark: SparkSession, d: str) -> DataFrame:

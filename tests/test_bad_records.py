@@ -129,7 +129,8 @@ def test_large_files_are_spread(spark, files, monkeypatch):
     monkeypatch.setattr(B, "BLOCK", 8)
     rows = [("f", i, f"{i},x" if i % 50 else "bad", 1) for i in range(2, 1002)] + [("g", i, "maybe", 1) for i in range(1, 4)]
     records = spark.createDataFrame(rows, "file_id string, line_no bigint, raw_text string, loaded_ts int")
-    assert B.prepare_records(records, *files).count() == len(rows)
+    prepared = B.prepare_records(records, *files)
+    assert prepared.where("raw is not null").count() == len(rows) and prepared.where("raw is null").count() == 10 + 1 + 1  # a definition a part
     parsed = B.parse_records(records, *files)
     assert {(r.file_id, r.line_no) for r in B.failing_records(parsed).collect()} == {("f", i) for i in range(50, 1002, 50)} | {("g", i) for i in range(1, 4)}
 
