@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,30 +59,36 @@ def _by_subsets(sets: DataFrame, pairs: list[tuple[int, int, int]]) -> DataFrame
     """Pairs (set_a, set_b) of small distinct sets that share a subset of the size their pair needs."""
     sets = sets.withColumn("hs", F.transform("items", lambda v: F.xxhash64(v))).withColumn("x", F.aggregate("hs", F.lit(0).cast("bigint"), lambda a, h: a.bitwiseXOR(h)))
 
-    def in_roles(subsets: Column, roles: Column) -> Column:
-        return F.flatten(F.transform(subsets, lambda h: F.transform(roles, lambda q: F.struct(q.alias("role"), h.alias("subset")))))
+    # a key is the hash of a subset mixed with a number for its role, the pair of sizes; odd ones are of equal sizes
+    numbers = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, len(pairs)) * 2
+    role = {(s, t): int(r) + (s == t) for (s, t, _), r in zip(pairs, numbers)}
+
+    def in_roles(subsets: Column, roles: list[int]) -> Column:
+        return F.flatten(F.transform(subsets, lambda h: F.array(*[h.bitwiseAND(-2).bitwiseXOR(F.lit(r)) for r in roles])))
 
     def keyed(sets: DataFrame, side: int) -> DataFrame:
-        """Subset keys of each set in its role: 0 the smaller, 1 the larger set of a pair of sizes."""
+        """Keys of the subsets of each set in its roles: as the smaller set (side 0) or the larger one (side 1) of a pair of sizes."""
         by_size: dict[int, dict[int, list[int]]] = {}
         for s, t, o in pairs:
             own = (s, t)[side]
-            by_size.setdefault(own, {}).setdefault(own - o, []).append(s * 1000 + t)
-        size, roles = F.col("n"), F.array().cast("array<struct<role:int,subset:bigint>>")
+            by_size.setdefault(own, {}).setdefault(own - o, []).append(role[s, t])
+        keys = F.array().cast("array<bigint>")
         for own, outs in by_size.items():
-            parts = [in_roles(_subsets(k), F.array(*map(F.lit, rs))) for k, rs in outs.items()]
-            roles = F.when(size == own, parts[0] if len(parts) == 1 else F.concat(*parts)).otherwise(roles)
-        return sets.select("set_id", F.explode(roles).alias("k")).select("set_id", "k.role", "k.subset")
+            parts = [in_roles(_subsets(k), roles) for k, roles in outs.items()]
+            keys = F.when(F.col("n") == own, parts[0] if len(parts) == 1 else F.concat(*parts)).otherwise(keys)
+        return sets.select("set_id", F.explode(keys).alias("key"))
 
     # subsets of very many sets show in a sample; their sets are spread over several tasks, which changes no result
     some = sets.where(F.shiftrightunsigned(F.xxhash64("set_id", F.lit("hot")), 12) / F.lit(float(1 << 52)) < SAMPLED)
-    seen = keyed(some, 0).unionByName(keyed(some, 1)).groupBy("role", "subset").agg(F.count("*").alias("seen")).where(F.col("seen") > HOT * SAMPLED)
-    hot = small(cut(seen.select("role", "subset", F.ceil(F.col("seen") / (HOT * SAMPLED)).cast("int").alias("parts"))))
-    parts = F.coalesce("parts", F.lit(1))
-    a = keyed(sets, 0).withColumnRenamed("set_id", "a").join(hot, ["role", "subset"], "left").withColumn("part", F.pmod(F.xxhash64("a"), parts).cast("int"))
-    b = keyed(sets, 1).withColumnRenamed("set_id", "b").join(hot, ["role", "subset"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    same = (F.col("role") % 1000 == F.floor(F.col("role") / 1000)) & (F.col("a") >= F.col("b"))
-    return a.drop("parts").join(b.drop("parts"), ["role", "subset", "part"]).where(~same).select(F.least("a", "b").alias("set_a"), F.greatest("a", "b").alias("set_b"))
+    seen = keyed(some, 0).unionByName(keyed(some, 1)).groupBy("key").agg(F.count("*").alias("seen")).where(F.col("seen") > HOT * SAMPLED)
+    hot = cut(seen.select("key", F.ceil(F.col("seen") / (HOT * SAMPLED)).cast("int").alias("parts")))
+    a, b, by = keyed(sets, 0).withColumnRenamed("set_id", "a"), keyed(sets, 1).withColumnRenamed("set_id", "b"), ["key"]
+    if not hot.isEmpty():
+        hot, by, parts = small(hot), ["key", "part"], F.coalesce("parts", F.lit(1))
+        a = a.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("a"), parts).cast("int")).drop("parts")
+        b = b.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    once = (F.col("a") < F.col("b")) | ((F.col("a") > F.col("b")) & (F.col("key").bitwiseAND(1) == 0))
+    return a.join(b, by).where(once).select(F.least("a", "b").alias("set_a"), F.greatest("a", "b").alias("set_b"))
 
 
 def _by_lists(sets: DataFrame, threshold: Fraction, covered: list[tuple[int, int, int]]) -> DataFrame:
@@ -137,7 +144,7 @@ def similar_sets(records: DataFrame, id_col: str, items_col: str, threshold: flo
     found = _by_lists(sets, th, pairs)
     if pairs:
         found = found.unionByName(_by_subsets(sets.where(F.col("n") <= small_sets), pairs))
-    found = found.distinct()
+    found = small(cut(found.distinct()))
     a = sets.select(F.col("set_id").alias("set_a"), F.col("items").alias("items_a"))
     b = sets.select(F.col("set_id").alias("set_b"), F.col("items").alias("items_b"))
     shared = F.size(F.array_intersect("items_a", "items_b"))
@@ -155,15 +162,17 @@ def similar_pairs(records: DataFrame, id_col: str, items_col: str, threshold: fl
     """
     classes, links = similar_sets(records, id_col, items_col, threshold, least, small_sets)
     ids = _chunks(classes.select("set_id", "id"))
-    pairs = _expanded(links.select("set_a", "set_b", "similarity"), ids, ids).unionByName(_copies(ids))
+    pairs = _expanded(small(cut(links.select("set_a", "set_b", "similarity"))), ids, ids).unionByName(_copies(ids))
     return pairs.select(F.least("one", "two").alias("id_a"), F.greatest("one", "two").alias("id_b"), "similarity")
 
 
 def _chunks(members: DataFrame) -> DataFrame:
     """set_id, chunk, ids: the members (set_id, id) of each class in chunks of about MEMBERS; kept, a row a chunk."""
-    large = members.groupBy("set_id").agg(F.count("*").alias("size")).where(F.col("size") > MEMBERS)
-    parts = F.coalesce(F.ceil(F.col("size") / MEMBERS), F.lit(1))
-    spread = members.join(small(cut(large)), "set_id", "left").withColumn("chunk", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    large = cut(members.groupBy("set_id").agg(F.count("*").alias("size")).where(F.col("size") > MEMBERS))
+    spread = members.withColumn("chunk", F.lit(0))
+    if not large.isEmpty():
+        parts = F.coalesce(F.ceil(F.col("size") / MEMBERS), F.lit(1))
+        spread = members.join(small(large), "set_id", "left").withColumn("chunk", F.pmod(F.xxhash64("id"), parts).cast("int"))
     return cut(spread.groupBy("set_id", "chunk").agg(F.collect_list("id").alias("ids")))
 
 
