@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..operators.space import Cells, by_block, into_blocks, matrix, with_visitors
@@ -167,16 +167,16 @@ def _inflate(power: float, prune: float) -> Callable:
     return run
 
 
-def _columns(parts: DataFrame, power: float, prune: float) -> DataFrame:
-    """The parts (j, w, y, k, i, n, v) of columns as columns of a stochastic matrix, kept; sums are taken in the order of k."""
-    return stored(parts.repartition("j").sortWithinPartitions("j", "k").select("j", "w", "y", "i", "n", "v").mapInArrow(_inflate(power, prune), _COLUMNS))
+def _columns(parts: DataFrame, power: float, prune: float) -> tuple[DataFrame, float, float]:
+    """(columns of a stochastic matrix, its greatest chaos, its sum of squares) from the parts (j, w, y, k, i, n, v) of the columns.
 
-
-def _state(m: DataFrame) -> tuple[float, float]:
-    """Greatest chaos and sum of squares of a matrix."""
+    The columns are stored, and watched while they are written; sums are taken in the order of k.
+    """
+    columns = parts.repartition("j").sortWithinPartitions("j", "k").select("j", "w", "y", "i", "n", "v").mapInArrow(_inflate(power, prune), _COLUMNS)
+    seen = Observation()
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    r = m.agg(F.max("chaos").alias("chaos"), F.sum(squares).alias("squares")).first()
-    return (r.chaos or 0.0), (r.squares or 0.0)
+    m = stored(columns.observe(seen, F.max("chaos").alias("chaos"), F.sum(squares).alias("squares")))
+    return m, seen.get["chaos"] or 0.0, seen.get["squares"] or 0.0
 
 
 def steady_matrix(edges: DataFrame, inflation: float = INFLATION, prune: float = PRUNE, steady: float = STEADY, nodes: DataFrame | None = None) -> DataFrame:
@@ -195,15 +195,14 @@ def steady_matrix(edges: DataFrame, inflation: float = INFLATION, prune: float =
         entries = both.join(of.drop("own"), "i").unionByName(loops.drop("v").join(of, "i").withColumnRenamed("own", "v"))
         entries = entries.join(of.select(F.col("i").alias("j"), F.col("n").alias("w")), "j")
     packed = entries.select("j", "w", F.lit(1.0).alias("y"), F.col("i").alias("k"), F.array("i").alias("i"), F.array("n").alias("n"), F.array("v").alias("v"))
-    m = _columns(packed, 1.0, prune)
-    before = _state(m)[1]
+    m, _, before = _columns(packed, 1.0, prune)
     for _ in range(PATIENCE):
         # column j of the square: the columns k of its entries, each by its entry
         entry = m.select("j", "w", F.explode(F.arrays_zip("i", "n", "v")).alias("e")).select("j", "w", F.col("e.i").alias("k"), (F.col("e.n") * F.col("e.v")).alias("y"))
         square = entry.join(m.select(F.col("j").alias("k"), "i", "n", "v"), "k")
-        replaced, m = m, _columns(square, inflation, prune)
+        replaced = m
+        m, chaos, now = _columns(square, inflation, prune)
         release(replaced)
-        chaos, now = _state(m)
         if chaos < steady or abs(now - before) <= STILL * now:
             return m
         before = now

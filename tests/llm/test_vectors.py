@@ -101,9 +101,9 @@ def test_connected(spark):
 
 def graph(kind):
     if kind == "ring":
-        return [(i, (i + 1) % 24, 1.0) for i in range(24)]
+        return [(i, (i + 1) % 14, 1.0) for i in range(14)]
     if kind == "path":
-        return [(i, i + 1, 1.0) for i in range(40)]
+        return [(i, i + 1, 1.0) for i in range(24)]
     if kind == "star":
         return [(0, i, 1.0) for i in range(1, 30)]
     if kind == "grid":
