@@ -209,19 +209,20 @@ def _patterns(lines: DataFrame, per_mille: int, size: int | None = None) -> Data
     return found.select(F.array_join(F.sort_array("pattern"), "|").alias("pattern"), "support")
 
 
-def _patterns_sql(source: str, per_mille: int, sizes: tuple[int, ...]) -> str:
-    sets = []
-    for k in sizes:
-        tables = "f a1" + "".join(f" JOIN f a{j} ON a{j}.o = a1.o AND a{j}.i > a{j - 1}.i" for j in range(2, k + 1))
-        sets.append(f"SELECT {" || '|' || ".join(f'a{j}.i' for j in range(1, k + 1))} pattern, count(*) support FROM {tables} GROUP BY 1 HAVING count(*) >= (SELECT n FROM m)")
-    return f"WITH {source}, m AS (SELECT greatest(2, count(DISTINCT o) * {per_mille} // 1000) n FROM b), f AS (SELECT * FROM b WHERE i IN (SELECT i FROM b GROUP BY 1 HAVING count(*) >= (SELECT n FROM m))) " + " UNION ALL ".join(sets)
-
-
-_add("patterns_brand", lambda s, d: _patterns(_brand_lines(s, d), 5), _patterns_sql(_BRANDS, 5, (1, 2, 3, 4)))
-_add("patterns_pairs", lambda s, d: _patterns(_brand_lines(s, d), 5, 2), _patterns_sql(_BRANDS, 5, (2,)))
-_add("patterns_items", lambda s, d: _patterns(_sold(s, d), 60), _patterns_sql(_SOLD, 60, (1, 2, 3, 4, 5)))
-# 60 per mille is what the SQL, which stops at 5 items, can follow; at 20 the smallest tables hold longer patterns
-_add("patterns_items_20", lambda s, d: _patterns(_sold(s, d), 20))
+def _patterns_sql(source: str, per_mille: int, size: int | None = None) -> str:
+    """Itemsets of any size, each grown from one without its last item, with the baskets that hold it."""
+    parts = [
+        source,
+        f"m AS (SELECT greatest(2, count(DISTINCT o) * {per_mille} // 1000) n FROM b)",
+        "s AS (SELECT i, list(o) held FROM b GROUP BY 1 HAVING count(*) >= (SELECT n FROM m))",
+        "r AS (SELECT 1 size, i pattern, i last_i, held FROM s UNION ALL SELECT size + 1, r.pattern || '|' || s.i, s.i, list_intersect(r.held, s.held) FROM r JOIN s ON s.i > r.last_i WHERE len(list_intersect(r.held, s.held)) >= (SELECT n FROM m))",
+    ]
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT pattern, CAST(len(held) AS BIGINT) support FROM r" + ("" if size is None else f" WHERE size = {size}")
+
+
+_add("patterns_brand", lambda s, d: _patterns(_brand_lines(s, d), 5), _patterns_sql(_BRANDS, 5))
+_add("patterns_pairs", lambda s, d: _patterns(_brand_lines(s, d), 5, 2), _patterns_sql(_BRANDS, 5, 2))
+_add("patterns_items", lambda s, d: _patterns(_sold(s, d), 20), _patterns_sql(_SOLD, 20))
 _add("item_support", lambda s, d: itemsets.item_support(_sold(s, d)), f"WITH {_SOLD} SELECT i item, count(*) support FROM b GROUP BY 1")
 _add(
     "eliminated_baskets",
@@ -250,16 +251,21 @@ _add(
 
 
 def _kmeans_sql(k: int, iterations: int, out: str) -> str:
+    """Lloyd's iterations as a recursion over one row of centres; ``out`` reads them from u, as they were at the last assignment."""
     d = "(x.f0 - {c}.f0) ** 2 + (x.f1 - {c}.f1) ** 2"
     parts = [_SQUARE, "s0 AS (SELECT f0, f1 FROM x ORDER BY seq LIMIT 1)"]
     for j in range(1, k):
         least = "least(" + ", ".join(d.format(c=f"s{i}") for i in range(j)) + ")"
         parts.append(f"s{j} AS (SELECT x.f0, x.f1 FROM x, {', '.join(f's{i}' for i in range(j))} ORDER BY {least} DESC, seq DESC LIMIT 1)")
-    parts.append("c0 AS (" + " UNION ALL ".join(f"SELECT {j} c, f0, f1 FROM s{j}" for j in range(k)) + ")")
-    for i in range(iterations):
-        parts.append(f"a{i} AS (SELECT order_id, f0, f1, c FROM (SELECT x.*, c, row_number() OVER (PARTITION BY seq ORDER BY {d.format(c=f'c{i}')}, c) n FROM x, c{i}) WHERE n = 1)")
-        parts.append(f"c{i + 1} AS (SELECT k.c, coalesce(avg(a.f0), 0) f0, coalesce(avg(a.f1), 0) f1 FROM range({k}) k(c) LEFT JOIN a{i} a ON a.c = k.c GROUP BY 1)")
-    return f"WITH {', '.join(parts)} {out.format(a=f'a{iterations - 1}', c=f'c{iterations - 1}')}"
+    near = [f"(x.f0 - a{j}) ** 2 + (x.f1 - b{j}) ** 2" for j in range(k)]
+    cluster = "CASE" + "".join(f" WHEN {near[j]} <= least({', '.join(near)}) THEN {j}" for j in range(k)) + " END"
+    means = [f"coalesce(avg({f}) FILTER (WHERE c = {j}), 0)" for j in range(k) for f in ("f0", "f1")]
+    old = [f"{c}{j}" for j in range(k) for c in "ab"]
+    still = " AND ".join(f"abs({m} - any_value({o})) < 1e-6" for m, o in zip(means, old))
+    seeds = ", ".join(f"s{j}.f0 a{j}, s{j}.f1 b{j}" for j in range(k))
+    parts.append(f"r AS (SELECT 0 it, false still, {seeds} FROM {', '.join(f's{j}' for j in range(k))} UNION ALL SELECT it + 1, it > 0 AND {still}, {', '.join(means)} FROM (SELECT r.*, f0, f1, {cluster} c FROM r, x WHERE NOT still AND it < {iterations}) GROUP BY it)")
+    parts.append("u AS (SELECT * FROM r ORDER BY it DESC LIMIT 1 OFFSET 1)")
+    return f"WITH RECURSIVE {', '.join(parts)} {out.format(cluster=cluster)}"
 
 
 def _seeded(spark: SparkSession, d: str, iterations: int = clustering.ITERATIONS) -> tuple[DataFrame, list[list[float]]]:
@@ -267,8 +273,9 @@ def _seeded(spark: SparkSession, d: str, iterations: int = clustering.ITERATIONS
     return clustering.kmeans_farthest_first(rows, ["balance", "nation"], 3, "seq", iterations)
 
 
-_add("kmeans_farthest_first", lambda s, d: _seeded(s, d, 4)[0].select("order_id", "cluster_id"), _kmeans_sql(3, 4, "SELECT order_id, CAST(c AS BIGINT) cluster_id FROM {a}"))
-_add("kmeans_assign", lambda s, d: _seeded(s, d, 1)[0].select("order_id", "cluster_id"), _kmeans_sql(3, 1, "SELECT order_id, CAST(c AS BIGINT) cluster_id FROM {a}"))
+_ASSIGNED = "SELECT order_id, CAST({cluster} AS BIGINT) cluster_id FROM x, u"
+_add("kmeans_farthest_first", lambda s, d: _seeded(s, d)[0].select("order_id", "cluster_id"), _kmeans_sql(3, clustering.ITERATIONS, _ASSIGNED))
+_add("kmeans_assign", lambda s, d: _seeded(s, d, 1)[0].select("order_id", "cluster_id"), _kmeans_sql(3, 1, _ASSIGNED))
 
 
 def _centroids(spark: SparkSession, centres: list[list[float]]) -> DataFrame:
@@ -276,10 +283,11 @@ def _centroids(spark: SparkSession, centres: list[list[float]]) -> DataFrame:
     return rows.select("cluster_id", F.round("f0", 6).alias("f0"), F.round("f1", 6).alias("f1"))
 
 
-_add("kmeans_centroids", lambda s, d: _centroids(s, _seeded(s, d, 4)[1]), _kmeans_sql(3, 4, "SELECT CAST(c AS BIGINT) cluster_id, round(f0, 6) f0, round(f1, 6) f1 FROM {c}"))
-# until steady; the SQL of the others unrolls each iteration
-_add("kmeans_steady", lambda s, d: _seeded(s, d)[0].select("order_id", "cluster_id"))
-_add("kmeans_steady_centroids", lambda s, d: _centroids(s, _seeded(s, d)[1]))
+_add(
+    "kmeans_centroids",
+    lambda s, d: _centroids(s, _seeded(s, d)[1]),
+    _kmeans_sql(3, clustering.ITERATIONS, " UNION ALL ".join(f"SELECT CAST({j} AS BIGINT) cluster_id, round(a{j}, 6) f0, round(b{j}, 6) f1 FROM u" for j in range(3))),
+)
 
 
 def _clean_frame(spark: SparkSession, d: str) -> DataFrame:

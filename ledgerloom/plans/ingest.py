@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
 
-import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import put, scratch, table
 from ..sources.arrow_ipc import read_ipc, to_ipc
 from ..sources.csv_files import infer_types, read_csv, write_csv
-from ..sources.parquet_files import write_parquet
+from ..sources.parquet_files import row_groups, write_parquet
 from ..sources.xlsx import read_xlsx, write_workbook
 from ..streaming.csv_stream import csv_to_parquet
 from ..types import ColumnDef, CsvReadOptions, CsvWriteOptions, ExcelLoadOptions, ParquetWriteOptions, SchemaHint
@@ -74,15 +71,8 @@ def parquet_row_groups(spark: SparkSession, d: str) -> DataFrame:
     out = scratch(spark)
     write_parquet(table(spark, d, "orders"), out, ParquetWriteOptions(1024))
 
-    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                meta = pq.ParquetFile(pa.BufferReader(content.as_buffer())).metadata
-                rows = [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
-                yield pa.RecordBatch.from_pydict({"n": pa.array(rows, pa.int64()), "last": pa.array([i == len(rows) - 1 for i in range(len(rows))], pa.bool_())})
-
-    groups = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(out).select("content").mapInArrow(footers, "n bigint, last boolean")
-    return groups.agg(F.sum("n").alias("rows"), F.count_if(F.expr("n > 1024 or (n <> 1024 and not last)")).alias("odd_groups"))
+    odd = F.count_if(F.expr("n_rows > 1024 or (n_rows <> 1024 and not last)"))
+    return row_groups(spark, out).agg(F.sum("n_rows").alias("rows"), odd.alias("odd_groups"))
 
 
 def arrow_roundtrip(spark: SparkSession, d: str) -> DataFrame:

@@ -71,6 +71,19 @@ class Workbook:
             table = ElementTree.fromstring(self.zip.read("xl/sharedStrings.xml"))
             self.strings = ["".join(t.text or "" for t in si.iter(f"{MAIN}t")) for si in table.iter(f"{MAIN}si")]
 
+    @property
+    def sheet_names(self) -> list[str]:
+        return [n for n, _ in self.sheets]
+
+    @property
+    def string_table_size(self) -> int:
+        """Strings of the shared table."""
+        return len(self.strings)
+
+    def row_count(self, sheet: str | int = "") -> int:
+        """Rows with values, the header included."""
+        return sum(1 for _ in self.rows(sheet))
+
     def path(self, sheet: str | int) -> str:
         names = [n for n, _ in self.sheets]
         if sheet == "":

@@ -16,8 +16,8 @@ from ledgerloom.session import put
 from ledgerloom.sources.arrow_ipc import read_ipc_files
 from ledgerloom.sources.converter import Converter
 from ledgerloom.sources.csv_files import infer_types, read_csv, surveyed
-from ledgerloom.sources.parquet_files import write_parquet
-from ledgerloom.sources.xlsx import read_xlsx, write_workbook
+from ledgerloom.sources.parquet_files import row_groups, write_parquet
+from ledgerloom.sources.xlsx import Workbook, read_xlsx, write_workbook
 from ledgerloom.streaming.csv_stream import csv_to_parquet
 from ledgerloom.types import ColumnDef, Compression, CsvReadOptions, ExcelLoadOptions, NullHandling, ParquetWriteOptions, SchemaHint
 
@@ -132,6 +132,8 @@ def test_row_groups(spark, tmp_path):
     write_parquet(spark.range(3000).coalesce(1), out, ParquetWriteOptions(1000, Compression.ZSTD))
     (file,) = glob.glob(f"{out}/*.parquet")
     meta = pq.ParquetFile(file).metadata
+    told = row_groups(spark, out).orderBy("nth").collect()
+    assert [(r.nth, r.last, r.n_rows, r.compression) for r in told] == [(0, False, 1000, "zstd"), (1, False, 1000, "zstd"), (2, True, 1000, "zstd")] and told[0].n_bytes > 0
     assert [meta.row_group(i).num_rows for i in range(meta.num_row_groups)] == [1000, 1000, 1000]
     assert meta.row_group(0).column(0).compression == "ZSTD" and spark.read.parquet(out).count() == 3000
     for n in (63, 20000):
@@ -209,6 +211,9 @@ def test_xlsx_shared_strings(spark, tmp_path):
             z.writestr(n, data)
     got = read_xlsx(spark, at)
     assert got.columns == ["id", "", "flag"] and rows(got) == [("5", None, "true")]
+    with open(at, "rb") as f:
+        book = Workbook(f.read())
+    assert (book.sheet_names, book.string_table_size, book.row_count()) == (["s"], 2, 2)
     with pytest.raises(ExcelFileTooLarge):
         read_xlsx(spark, at, ExcelLoadOptions(max_string_table_bytes=10))
 

@@ -252,6 +252,53 @@ def test_anomalies_do_not_depend_on_partitions(spark):
     assert b == c and set(a) == set(b)
 
 
+def plain_forest_scores(x, sample, seed, trees):
+    """The forest's scores by nested nodes and a walk for each row."""
+    size = min(len(sample), iforest.SAMPLE)
+    depth_most = max(1, math.ceil(math.log2(max(2, size))))
+
+    def average(n):
+        return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+
+    def grow(rows, depth, rng):
+        if depth >= depth_most or len(rows) <= 1 or (rows == rows[0]).all():
+            return depth + average(len(rows))
+        a = int(rng.integers(rows.shape[1]))
+        b = int(rng.integers(rows.shape[1] - 1))
+        b += b >= a
+        w = rng.standard_normal(2)
+        p = rng.uniform(rows.min(0)[[a, b]], rows.max(0)[[a, b]])
+        at = float((p * w).sum())
+        side = rows[:, a] * w[0] + rows[:, b] * w[1] <= at
+        left = grow(rows[side], depth + 1, rng)
+        return a, b, w, at, left, grow(rows[~side], depth + 1, rng)
+
+    def walk(node, row):
+        while isinstance(node, tuple):
+            a, b, w, at, left, right = node
+            node = left if row[a] * w[0] + row[b] * w[1] <= at else right
+        return node
+
+    total = np.zeros(len(x))
+    for t in range(trees):
+        rng = np.random.default_rng([seed, t])
+        rows = sample[np.sort(rng.permutation(len(sample))[:size])]
+        root = grow(rows, 0, rng)
+        total += [walk(root, row) for row in x]
+    return 2.0 ** (-(total / trees) / average(size))
+
+
+def test_anomalies_by_a_plain_forest(spark):
+    rng = np.random.default_rng(3)
+    x = np.r_[rng.normal(size=(700, 3)), rng.normal(size=(8, 3)) * 9]
+    df = frame(spark, *x.T)
+    ranked = df.select("order_id", "f0", "f1", "f2", (F.shiftrightunsigned(F.xxhash64("order_id", "f0", "f1", "f2", F.lit(5)), 12)).alias("rank")).orderBy("rank").collect()
+    sample = np.array([r[1:4] for r in ranked[: 20 * iforest.SAMPLE]])
+    got = {r.order_id: r.abnormal_score for r in iforest.anomalies(df, 0.6, seed=5, trees=20).collect()}
+    assert [got[f"o{i}"] for i in range(len(x))] == pytest.approx(list(plain_forest_scores(x, sample, 5, 20)), abs=1e-9)
+    assert sum(sorted(got, key=got.get, reverse=True)[i] in {f"o{j}" for j in range(700, 708)} for i in range(8)) >= 6  # the far ones
+
+
 def test_anomalies_among_copies(spark):
     """Rows of which most are copies of one still give a sample and a score, at any number of rows."""
     df = frame(spark, [0.0] * 500 + [50.0], [0.0] * 500 + [-50.0]).withColumn("order_id", F.lit("same"))
@@ -342,7 +389,7 @@ def test_patterns_of_items_by_brute_force(spark):
         want |= {"|".join(p): len(o) for p, o in held.items()}
         held = {(*p, i): o & single[i] for p, o in held.items() for i in single if i > p[-1]}
         held = {p: o for p, o in held.items() if len(o) >= least}
-    got = {r.pattern: r.support for r in registry.queries()["patterns_items_20"](spark, DATA).collect()}
+    got = {r.pattern: r.support for r in registry.queries()["patterns_items"](spark, DATA).collect()}
     assert got == want and max(p.count("|") for p in got) >= 5
 
 
@@ -352,8 +399,8 @@ def test_registered_kmeans_is_steady(spark):
 
     from .conftest import DATA
 
-    cluster = {r.order_id: r.cluster_id for r in registry.queries()["kmeans_steady"](spark, DATA).collect()}
-    centres = np.array([[r.f0, r.f1] for r in registry.queries()["kmeans_steady_centroids"](spark, DATA).orderBy("cluster_id").collect()])
+    cluster = {r.order_id: r.cluster_id for r in registry.queries()["kmeans_farthest_first"](spark, DATA).collect()}
+    centres = np.array([[r.f0, r.f1] for r in registry.queries()["kmeans_centroids"](spark, DATA).orderBy("cluster_id").collect()])
     rows = analytics._square(spark, DATA).collect()
     x, c = np.array([[r.balance, r.nation] for r in rows]), np.array([cluster[r.order_id] for r in rows])
     d = ((x[:, None] - centres[None]) ** 2).sum(2)
