@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
-from ..session import cut
+from ..session import cut, release
 from .space import Cells, Products, by_block, into_blocks, matrix, nearest, with_visitors
 from .validate import MAX_FEATURES
 
@@ -60,6 +60,7 @@ def nearest_lists(points: DataFrame, k: int, screen: Callable = Products, radius
 
     own = blocks.select("block", F.lit(0).alias("role"), "pid", "z")  # already spread and sorted by block
     home = cut(own.mapInArrow(lambda b: by_block(b, at_home, lambda state, rows: iter(())), f"block int, pid bigint, z array<double>, reach double, {_LISTS.split(', ', 1)[1]}"))
+    release(blocks)
     away = with_visitors(home.select("block", "pid", "z", "reach"), "reach", ["reach"], visits).mapInArrow(lambda b: by_block(b, hold, visit), _LISTS)
     every = home.select("pid", "near").unionByName(away)
     return every.groupBy("pid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))

@@ -62,7 +62,7 @@ def release(df: DataFrame) -> None:
     rdd = df._jdf.queryExecution().toRdd()
     while not (file := rdd.getCheckpointFile()).isDefined():
         if rdd.dependencies().size() != 1:
-            files = [f for f in df.inputFiles() if "/scratch-" in f]
+            files = {f.rsplit("/", 1)[0] for f in df.inputFiles() if "/scratch-" in f}
             break
         rdd = rdd.dependencies().head().rdd()
     else:
