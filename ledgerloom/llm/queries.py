@@ -235,6 +235,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_outside": f"WITH {_ITEMS} SELECT 0::BIGINT outside, count(*) counted FROM items",
         "p6_found": f"{_NEAR} SELECT DISTINCT least(a, b) order_id_a, greatest(a, b) order_id_b FROM r WHERE nth <= 5",
         "p6_neighbours": f"{_NEAR} SELECT a order_id, nth::INT nth, b neighbour_id, dist distance FROM r WHERE nth <= 5",
+        "p6_nearest": f"WITH {_VECTORS}, d AS (SELECT a.order_id a, b.order_id b, round(list_distance(a.z, b.z), 6) dist FROM vec a JOIN vec b ON a.order_id <> b.order_id), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY dist, b) nth FROM d) SELECT a order_id, nth::INT nth, b neighbour_id, dist distance FROM r WHERE nth <= 5",
         "p7_found": f"{_LIFTS} SELECT item_id_a, item_id_b FROM l",
         "p7_lifts": f"{_LIFTS} SELECT item_id_a, item_id_b, n_ab, n_a, n_b, round(lift, 4) lift FROM l",
         "p9_plan": "WITH t AS (SELECT sum(n_chars) total FROM documents), x AS (SELECT source, count(n_chars) documents, coalesce(sum(n_chars), 0) supply FROM documents GROUP BY 1), p AS (SELECT m.source, coalesce(documents, 0) documents, coalesce(supply, 0)::BIGINT supply, target_share * total demand, greatest(max_repeats, 0) most FROM mix_targets m LEFT JOIN x ON x.source = m.source CROSS JOIN t), f AS (SELECT *, CASE WHEN supply > 0 THEN least(most, floor(demand / supply))::BIGINT ELSE 0 END full_passes FROM p) SELECT source, documents, supply, round(demand, 4) demand, full_passes, round(CASE WHEN supply > 0 AND full_passes < most THEN demand - full_passes * supply ELSE 0 END, 4) rest FROM f",
