@@ -14,15 +14,15 @@ from .validate import validate_dims
 ITERATIONS, TOLERANCE = 100, 1e-6
 
 
-def _distance(x: list[Column], centre: list[float]) -> Column:
+def _distance(x: list[Column], centre: list[float] | list[Column]) -> Column:
     out = None
     for c, v in zip(x, centre):
-        d = (c - F.lit(float(v))) * (c - F.lit(float(v)))
-        out = d if out is None else out + d
+        v = v if isinstance(v, Column) else F.lit(float(v))
+        out = (c - v) * (c - v) if out is None else out + (c - v) * (c - v)
     return out
 
 
-def assign(features: list[Column], centres: list[list[float]]) -> tuple[Column, Column]:
+def assign(features: list[Column], centres: list[list[float]] | list[list[Column]]) -> tuple[Column, Column]:
     """(cluster, squared distance) of the nearest centre; of equal ones the lowest number."""
     best = F.array_min(F.array(*[F.struct(_distance(features, c).alias("d"), F.lit(i).cast("bigint").alias("c")) for i, c in enumerate(centres)]))
     return best["c"], best["d"]
@@ -60,8 +60,12 @@ def kmeans_farthest_first(df: DataFrame, features: list[str], k: int, order: str
         used = centres
         for i in range(iterations):
             used = centres
-            cluster, _ = assign(x, used)
-            got = {r.c: [r[c] for c in names] for r in own.groupBy(cluster.alias("c")).agg(*[F.avg(c).alias(c) for c in names]).collect()}  # k rows
+            # centres come as a row, not as literals, so that each iteration runs the code that the first compiled
+            columns = [[f"m{j}_{d}" for d in range(len(names))] for j in range(k)]
+            row = own.sparkSession.createDataFrame([tuple(float(v) for c in used for v in c)], ", ".join(f"{n} double" for c in columns for n in c))
+            cluster, _ = assign(x, [[F.col(n) for n in c] for c in columns])
+            means = own.crossJoin(F.broadcast(row)).groupBy(cluster.alias("c")).agg(*[F.avg(c).alias(c) for c in names])  # one row on the right
+            got = {r.c: [r[c] for c in names] for r in means.collect()}  # k rows
             centres = [got.get(c, [0.0] * len(names)) for c in range(k)]
             if i > 0 and all(abs(a - b) < tolerance for p, q in zip(used, centres) for a, b in zip(p, q)):
                 break
