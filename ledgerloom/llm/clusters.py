@@ -26,6 +26,8 @@ from .vectors import Tiles, classes
 
 #: Inflation power, entries of a column below this are pruned, chaos at which a matrix counts as steady.
 INFLATION, PRUNE, STEADY = 2.0, 1e-3, 1e-3
+#: Entries of columns that are summed at once.
+ENTRIES = 1_000_000
 #: A matrix whose sum of squares moves by less than this (of itself) stands still; one that still moves after so many rounds is an error.
 STILL, PATIENCE = 1e-9, 200
 
@@ -43,16 +45,17 @@ def _balls(z: np.ndarray, radius: float) -> np.ndarray:
     return leader
 
 
-def ball_links(points: DataFrame, copies: DataFrame, distance: float, flow: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ball_links(points: DataFrame, distance: float, flow: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(vectors: pid, ball, flow; balls: node, n, own; links: a, b, weight, mass with a < b of balls with linked vectors).
 
-    ``copies``: pid, copies: the vectors that are equal to a point. The weight of two linked vectors is
+    ``points``: pid, z, copies: copies vectors are equal to the point. The weight of two linked vectors is
     exp(-(dist / distance)^2), that of others 0; of two balls, and within one (own), it is the mean over all pairs of
     vectors, their mass is the sum. A vector's flow is what it attracts in the column-stochastic matrix of all vectors' weights, the loops
     included: exact, whatever the balls are. It costs a second search of the links; without ``flow`` it is left out.
     """
     ship(points.sparkSession)
-    blocks = into_blocks(points.join(copies.select("pid", F.col("copies").cast("double").alias("copies")), "pid"), extra=["copies"])
+    blocks = into_blocks(points, extra=["copies"])
+    release(points)
 
     def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def start(rows: pa.RecordBatch) -> tuple:
@@ -152,15 +155,16 @@ def _inflate(power: float, prune: float) -> Callable:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            j = np.asarray(batch.column(0))
+            j, entries = np.asarray(batch.column(0)), np.cumsum(np.asarray(batch.column(3).value_lengths()))
             if held and held[-1].column(0)[-1].as_py() != j[0]:
                 yield finish(held)
                 held = []
-            last = int(np.searchsorted(j, j[-1]))  # the last column may go on in the next batch
-            if last:
-                yield finish([*held, batch.slice(0, last)])
-                held = []
-            held.append(batch.slice(last))
+            ends, at = np.nonzero(j[1:] != j[:-1])[0] + 1, 0  # the last column may go on in the next batch
+            some = entries[ends - 1] // ENTRIES
+            for end in ends[np.r_[some[1:] != some[:-1], True][: len(ends)]]:  # columns of about as many entries at once
+                yield finish([*held, batch.slice(at, end - at)])
+                held, at = [], end
+            held.append(batch.slice(at))
         if held:
             yield finish(held)
 
@@ -300,8 +304,7 @@ def similarity_clusters(vecs: DataFrame, distance: float = 1.0, inflation: float
     matrix, ``flow`` what the vector itself attracts, see :func:`ball_links`. An empty table gives no rows.
     """
     points, members = classes(vecs)
-    members = cut(members)
-    vectors, nodes, links = ball_links(points, members.groupBy("pid").agg(F.count("*").alias("copies")), distance, flow)
+    vectors, nodes, links = ball_links(points, distance, flow)
     found = stored(markov_clusters(links, inflation, prune, nodes=nodes))
     roots = cluster_groups(between(links.select("a", "b", F.col("mass").alias("weight")), found), inflation, prune).select(F.col("node").alias("cluster"), "root")
     named = found.join(roots, "cluster", "left").select(F.col("node").alias("ball"), "cluster", "drawn", F.coalesce("root", "cluster").alias("group_no"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.knn import ENDLESS, nearest_lists
-from ..session import cut, ship
+from ..session import release, ship
 from .vectors import Tiles, classes
 
 #: What rounding to 6 decimals may take off a distance.
@@ -39,8 +39,9 @@ def nearest_vectors(vecs: DataFrame, k: int = 5, radius: float | None = None, vi
     missed. An empty table gives no rows.
     """
     points, members = classes(vecs)
-    members = cut(members)
-    near = nearest_points(points, k, radius, visits).select("pid", F.explode("near").alias("n")).select("pid", "n.nbr", "n.dist")
+    near = nearest_points(points, k, radius, visits)
+    release(points)
+    near = near.select("pid", F.explode("near").alias("n")).select("pid", "n.nbr", "n.dist")
     # k + 1 members of a point are enough for anyone's k nearest, also for its own members'
     few = members.withColumn("nth", F.row_number().over(Window.partitionBy("pid").orderBy("id"))).where(F.col("nth") <= k + 1).select("pid", F.col("id").alias("other"))
     own = few.select("pid", F.lit(0.0).alias("dist"), "other")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, release
 
 #: Decimals to which distances are rounded.
 DECIMALS = 6
@@ -35,12 +35,13 @@ def vectors(frame: DataFrame, spec: DataFrame, id_col: str = "order_id") -> Data
 
 
 def classes(vecs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(points: pid, z, id; members: id, pid): equal vectors are one point, numbered in the order of its least id."""
+    """(points: pid, z, copies; members: id, pid): equal vectors are one point, numbered in the order of its least id; both kept."""
     vecs = cut(vecs)
-    points = vecs.groupBy("z").agg(F.min("id").alias("id"))
-    points = cut(points.repartitionByRange("id").sortWithinPartitions("id").withColumn("pid", F.monotonically_increasing_id()).select("pid", "z", "id"))
-    copies = vecs.alias("v").join(points.alias("p"), F.col("v.z") == F.col("p.z")).select(F.col("v.id").alias("id"), "pid")
-    return points, copies
+    points = vecs.groupBy("z").agg(F.min("id").alias("id"), F.count("*").cast("double").alias("copies"))
+    points = cut(points.repartitionByRange("id").sortWithinPartitions("id").withColumn("pid", F.monotonically_increasing_id()).select("pid", "z", "copies"))
+    members = cut(vecs.alias("v").join(points.alias("p"), F.col("v.z") == F.col("p.z")).select(F.col("v.id").alias("id"), "pid"))
+    release(vecs)
+    return points, members
 
 
 class Tiles:

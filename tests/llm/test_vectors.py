@@ -1,6 +1,7 @@
 """Neighbours and clusters of vectors against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerloom.llm import clusters, neighbours, vectors
@@ -169,6 +170,27 @@ def test_clusters_are_those_of_the_dense_flow(spark):
     assert np.allclose([drawn[v] for v in nodes], m.sum(1), atol=1e-2) and sum(drawn.values()) == pytest.approx(len(nodes))
 
 
+def test_columns_do_not_depend_on_batches(monkeypatch):
+    """Columns that go on over batches, and batches cut by their entries, give the same sums."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for j in range(50):
+        for _ in range(rng.integers(1, 6)):
+            i = sorted(set(rng.integers(0, 30, rng.integers(1, 8)).tolist()))
+            rows.append({"j": j, "w": 1.0, "y": float(rng.random()), "i": i, "n": [2.0] * len(i), "v": rng.random(len(i)).tolist()})
+    parts = pa.Table.from_pylist(rows)
+
+    def run(batch, entries):
+        monkeypatch.setattr(clusters, "ENTRIES", entries)
+        return pa.Table.from_batches(list(clusters._inflate(2.0, 1e-3)(iter(parts.to_batches(max_chunksize=batch))))).to_pylist()
+
+    whole = run(10_000, 10**6)
+    assert [r["j"] for r in whole] == list(range(50))
+    for r in whole:
+        assert sum(n * v for n, v in zip(r["n"], r["v"])) == pytest.approx(1.0) and r["chaos"] <= 1
+    assert all(run(batch, entries) == whole for batch in (1, 3, 64) for entries in (1, 40, 10**6))
+
+
 def test_sizes_and_typical_members_of_planted_clusters(spark, blocks):
     """Far apart blobs are the clusters; their typical members are those of the attractors with the most flow of their own."""
     rng = np.random.default_rng(8)
