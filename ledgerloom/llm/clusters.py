@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.space import Cells, by_block, into_blocks, matrix, with_visitors
@@ -174,13 +174,13 @@ def _inflate(power: float, prune: float) -> Callable:
 def _columns(parts: DataFrame, power: float, prune: float) -> tuple[DataFrame, float, float]:
     """(columns of a stochastic matrix, its greatest chaos, its sum of squares) from the parts (j, w, y, k, i, n, v) of the columns.
 
-    The columns are stored, and watched while they are written; sums are taken in the order of k.
+    The columns are stored; sums are taken in the order of k.
     """
     columns = parts.repartition("j").sortWithinPartitions("j", "k").select("j", "w", "y", "i", "n", "v").mapInArrow(_inflate(power, prune), _COLUMNS)
-    seen = Observation()
+    m = stored(columns)
     squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    m = stored(columns.observe(seen, F.max("chaos").alias("chaos"), F.sum(squares).alias("squares")))
-    return m, seen.get["chaos"] or 0.0, seen.get["squares"] or 0.0
+    seen = m.agg(F.max("chaos").alias("chaos"), F.sum(squares).alias("squares")).first()
+    return m, seen.chaos or 0.0, seen.squares or 0.0
 
 
 def steady_matrix(edges: DataFrame, inflation: float = INFLATION, prune: float = PRUNE, steady: float = STEADY, nodes: DataFrame | None = None) -> DataFrame:
