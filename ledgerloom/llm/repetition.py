@@ -61,10 +61,28 @@ def _mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def _lower(text: str) -> str:
+    """Lower case letter by letter: a capital sigma ends no word and a dotted capital I stays one letter."""
+    return text.replace("\u0130", "i").replace("\u03a3", "\u03c3").lower()
+
+
+def _same_run(words: np.ndarray, doc: np.ndarray, a: np.ndarray, b: np.ndarray, run: int) -> bool:
+    """Whether the runs that start at ``a`` are those at ``b``, each in the same document."""
+    return bool((doc[a] == doc[b]).all()) and all((words[a + k] == words[b + k]).all() for k in range(run))
+
+
+def _started_before(words: np.ndarray, doc: np.ndarray, at: np.ndarray, run: int) -> np.ndarray:
+    """Those of the ascending starts ``at`` whose run has started before in its document; no hash takes part."""
+    number, group = np.unique(words, return_inverse=True)[1], doc[at]
+    for k in range(run):  # starts of one group are alike in their document and k words
+        group = np.unique(group * (number.max() + 1) + number[at + k], return_inverse=True)[1]
+    return np.delete(at, np.unique(group, return_index=True)[1])
+
+
 def repeated_words(words: np.ndarray, doc: np.ndarray, n_docs: int, run: int = RUN) -> np.ndarray:
     """Repeated words of each document; ``words`` are numbers, ``doc`` is the row of each, ascending.
 
-    Runs are compared by a 64-bit hash of their words and their document.
+    A 64-bit hash of their words and their document brings runs together; the words themselves are compared then.
     """
     n = len(words)
     if n <= run:
@@ -74,9 +92,12 @@ def repeated_words(words: np.ndarray, doc: np.ndarray, n_docs: int, run: int = R
         for k in range(run):
             h = h * np.uint64(0xD6E8FEB86659FD93) + m[k : n - run + 1 + k]
         same = np.nonzero(doc[: n - run + 1] == doc[run - 1 :])[0]
-        h = _mixed(h[same] + _mixed(doc[same]))
+        h = _mixed(h[same] * np.uint64(0xD6E8FEB86659FD93) + _mixed(doc[same]))  # the document as one more word: a plain sum lets a word and a document of swapped numbers cancel out
     order = np.argsort(h, kind="stable")
-    again = same[order[1:][h[order[1:]] == h[order[:-1]]]]
+    equal = h[order[1:]] == h[order[:-1]]
+    before, again = same[order[:-1][equal]], same[order[1:][equal]]
+    if not _same_run(words, doc, before, again, run):
+        again = _started_before(words, doc, np.union1d(before, again), run)
     mark = np.zeros(n + 1, np.int32)
     np.add.at(mark, again, 1)
     np.add.at(mark, again + run, -1)
@@ -116,7 +137,7 @@ def measure_repetition(df: DataFrame, keep: list[str], text_col: str = "text", r
             flats, first, size = [], 0, 0
             for i, text in enumerate(texts):
                 if text:
-                    flats.append(np.fromiter(chain.from_iterable(map(table.__getitem__, text.lower().split())), np.int64))
+                    flats.append(np.fromiter(chain.from_iterable(map(table.__getitem__, _lower(text).split())), np.int64))
                 else:
                     flats.append(np.empty(0, np.int64))
                 n_words[i] = len(flats[-1])

@@ -8,10 +8,11 @@ import numpy as np
 import pytest
 import regex
 
-from ledgerloom.llm import mixing, repetition
+from ledgerloom.llm import mixing, queries, repetition
 from ledgerloom.llm.tokenizer import PIECES, corpus_sizes, encode_corpus, encoder, vocabulary_path
 from ledgerloom.session import table
 
+from ..compare import assert_same
 from ..conftest import DATA
 
 
@@ -137,6 +138,32 @@ def test_repetition_edge_cases(spark):
     assert repetition.measure_repetition(df.limit(0), ["doc_id"]).count() == 0
 
 
+def test_repetition_against_sql_where_runs_of_documents_look_alike(spark, tmp_path):
+    """Equal texts of which every run is new: a word and a document of swapped numbers must not make a repetition. And letters whose lower case is longer or depends on their place."""
+    import duckdb
+    import pandas as pd
+
+    alike = " ".join(f"a b c d e f g {'n' * (i + 1)}" for i in range(40))
+    texts = [alike] * 240 + ["\u0130stanbul D\u0130Z\u0130 " * 9, "\u039f\u0394\u039f\u03a3 \u03bf\u03b4\u03bf\u03c2 \u03bf\u03b4\u03bf\u03c3 " * 9, "\u039f\u03a3 a b c d e f g. \u03bf\u03c3 a b c d e f g", None, ""]
+    pd.DataFrame({"doc_id": range(len(texts)), "lang": "en", "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    got = queries.p10_repetition(spark, str(tmp_path))
+    assert_same(got, con, queries.oracle_sql()["p10_repetition"])
+    assert got.where("doc_id < 240 and (n_words <> 320 or n_repeated <> 0)").count() == 0
+
+
+def test_repeated_words_are_compared_themselves():
+    run, row = [10, 11, 12, 13, 14, 15, 16], np.repeat([1, 2], 8)
+    assert repetition.repeated_words(np.array([*run, 2, *run, 1]), row, 3).tolist() == [0, 0, 0]
+    # a Thue-Morse sequence and its complement have one hash, whatever odd number it multiplies by
+    a = np.array([i.bit_count() % 2 for i in range(2048)])
+    apart = np.concatenate([a, [2], 1 - a])
+    assert repetition.repeated_words(apart, np.zeros(len(apart), int), 1, run=2048).tolist() == [0]
+    twice = np.concatenate([apart, [3], a])
+    assert repetition.repeated_words(twice, np.zeros(len(twice), int), 1, run=2048).tolist() == [2048]
+
+
 def test_binomial_bound():
     for errors, n in ((0, 50), (3, 100), (10, 40)):
         p = repetition.binomial_upper(errors, n, 0.05)
